@@ -30,45 +30,7 @@ from pyspark.sql import functions as F
 from .common import Rows, slices
 
 WORD = 256  # bits of a bitmap word
-BITS = [1 << i for i in range(WORD)]
-
-
-class RankQueue:
-    """A priority queue of (rank, position) with ranks below n: buckets under a bitmap of two levels."""
-
-    __slots__ = ("buckets", "top", "words")
-
-    def __init__(self, n: int):
-        self.words = [0] * (n // WORD + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
-        hi = rank >> 8
-        if not self.words[hi]:
-            self.top |= 1 << hi
-        self.words[hi] |= BITS[rank & 255]
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the lowest rank (find-first-set on both levels)."""
-        top = self.top
-        hi = (top & -top).bit_length() - 1
-        word = self.words[hi]
-        low = word & -word
-        rank = hi << 8 | low.bit_length() - 1
-        bucket = self.buckets[rank]
-        pos = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[hi] = word ^ low
-            if word == low:
-                self.top = top ^ (1 << hi)
-        return rank, pos
+BITS = [1 << i for i in range(1 << 12)]
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -86,44 +48,69 @@ class BytePairEncoder:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.two = [ranks.get(bytes((i >> 8, i & 255)), -1) for i in range(1 << 16)]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
+        """Ids of one pre-token by the rank queue, which is kept in local names for speed:
+        buckets (rank -> heap of positions), words (bitmap of ranks), top (bitmap of words)."""
         rank_of = self.ranks.get
         whole = rank_of(piece)
         if whole is not None:
             return [whole]
+        two, bits = self.two, BITS
         n = len(piece)
         after = list(range(1, n + 1))  # linked list of token starts
         before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the token at a start with its successor
-        queue = RankQueue(len(self.tokens))
-        push, pop = queue.push, queue.pop
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of a token with its successor
+        pair += (-1, -1)
+        top, words, buckets = 0, {}, {}
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending, so still a heap
+                else:
+                    buckets[rank] = [i]
+                    hi = rank >> 8
+                    words[hi] = words.get(hi, 0) | bits[rank & 255]
+                    top |= bits[hi]
+        while top:
+            hi = (top & -top).bit_length() - 1  # find first set, on both levels
+            word = words[hi]
+            low = word & -word
+            rank = hi << 8 | low.bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[hi] = word ^ low
+                if word == low:
+                    top ^= bits[hi]
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
-            end = after[j]
-            after[i] = end
-            pair[j] = pair[i] = -1
+            end = after[i] = after[j]
+            pair[j] = -1
+            prev = before[i]
+            fresh = []
             if end < n:
                 before[end] = i
-                rank = rank_of(piece[i : after[end]])
-                if rank is not None:
-                    pair[i] = rank
-                    push(rank, i)
-            prev = before[i]
+                pair[i] = rank = rank_of(piece[i : after[end]], -1)
+                if rank >= 0:
+                    fresh.append((rank, i))
+            else:
+                pair[i] = -1
             if prev >= 0:
-                rank = rank_of(piece[prev:end])
-                pair[prev] = -1 if rank is None else rank
-                if rank is not None:
-                    push(rank, prev)
+                pair[prev] = rank = rank_of(piece[prev:end], -1)
+                if rank >= 0:
+                    fresh.append((rank, prev))
+            for rank, i in fresh:
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    hi = rank >> 8
+                    words[hi] = words.get(hi, 0) | bits[rank & 255]
+                    top |= bits[hi]
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : after[i]]])
@@ -141,6 +128,25 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Pieces(dict):
+    """pre-token -> packed ids. Bounded: two generations, of which the older one goes."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]], limit: int):
+        super().__init__()
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = np.array(self.encode(piece.encode()), dtype="<u4").tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class Chunks(dict):
     """chunk -> packed ids, for chunks that stand after a single space. Bounded: two generations."""
 
@@ -155,12 +161,15 @@ class Chunks(dict):
                 raise LookupError(chunk)  # the space beside it is not a sure boundary
             packed = self.encode(self.lead + chunk)
         if len(chunk) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = packed
+            self.keep(chunk, packed)
         return packed
 
+    def keep(self, chunk: str, packed: bytes) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = packed
+
 
 #: A space between two characters that aren't white space always starts a pre-token.
 SURE_BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -173,7 +182,7 @@ class TextEncoder:
     stands between two other characters, which holds for the patterns of byte-level BPE.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 300_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
         self.encode = encode
         self.first = Chunks(encode, "", limit // 8)
         self.later = Chunks(encode, " ", limit)
@@ -189,6 +198,16 @@ class TextEncoder:
         head, *tail = SURE_BREAK.split(text)
         return self.encode(head) + b"".join([self.odd(x) for x in tail])
 
+    def prime(self, texts: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> None:
+        """Encode the chunks that are not known yet in one call."""
+        found: set[str] = set()
+        for text in texts:
+            found.update(text.split(" ")[1:])
+        later = self.later
+        new = [c for c in found if c not in later and c not in later.old and c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
+        for chunk, packed in zip(new, encode_all([" " + c for c in new]), strict=True):
+            later.keep(chunk, packed)
+
     def odd(self, chunk: str) -> bytes:
         try:
             return self.later[chunk]
@@ -200,7 +219,8 @@ class TextEncoder:
 def coder(path: str, pattern: str) -> tuple[BytePairEncoder, TextEncoder]:
     """One for each worker process; it lives from task to task."""
     bpe = BytePairEncoder(load_ranks(path), pattern)
-    return bpe, TextEncoder(lambda text: np.array(bpe.encode_text(text), dtype="<u4").tobytes())
+    piece, split = Pieces(bpe.encode_piece, 400_000).__getitem__, bpe.pattern.findall
+    return bpe, TextEncoder(lambda text: b"".join(map(piece, split(text))))
 
 
 @lru_cache(maxsize=4)

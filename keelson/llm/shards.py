@@ -26,11 +26,15 @@ BLOCKS = 1 << 14  # entries that the driver holds at a level
 
 @dataclass
 class Run:
-    """Neighbouring groups from offset lo to hi; atomic if it is one group."""
+    """Neighbouring groups from offset lo to hi, the last of which starts at last."""
 
     lo: int
     hi: int
-    atomic: bool
+    last: int
+
+    @property
+    def atomic(self) -> bool:
+        return self.lo == self.last
 
 
 def bounded_cuts(runs: list[Run], capacity: int, upper: bool, shards: int) -> list[int]:
@@ -81,8 +85,8 @@ def split(groups: DataFrame, shards: int) -> list[int]:
         for lo, hi, step in parts:
             cond = F.when((F.col("at") >= lo) & (F.col("at") < hi), F.lit(lo) + F.floor((F.col("at") - lo) / F.lit(step)) * step).otherwise(cond)
         found = groups.withColumn("part", cond).where(F.col("part").isNotNull()).groupBy("part").agg(
-            F.min("at").alias("lo"), F.max(F.col("at") + F.col("size")).alias("hi"), F.count("*").alias("n"))
-        return sorted((Run(r["lo"], r["hi"], r["n"] == 1) for r in found.collect()), key=lambda r: r.lo)
+            F.min("at").alias("lo"), F.max(F.col("at") + F.col("size")).alias("hi"), F.max("at").alias("last"))
+        return sorted((Run(r["lo"], r["hi"], r["last"]) for r in found.collect()), key=lambda r: r.lo)
 
     runs = opened([(0, total, max(1, -(-total // BLOCKS)))])
     while True:
@@ -92,11 +96,17 @@ def split(groups: DataFrame, shards: int) -> list[int]:
         regions = open_regions(runs, first, last + [total] * (len(first) - len(last)))
         if not regions:
             return first
-        finer = opened([(runs[i].lo, runs[j].hi, max(1, (runs[j].hi - runs[i].lo) * len(regions) // BLOCKS)) for i, j in regions])
+        finer = opened([(runs[i].lo, runs[j].last + 1, finer_step(runs[i : j + 1], BLOCKS // len(regions))) for i, j in regions])
         for i, j in reversed(regions):
             runs[i : j + 1] = [r for r in finer if runs[i].lo <= r.lo < runs[j].hi]
 
 
+def finer_step(region: list[Run], parts: int) -> int:
+    """Small enough for parts cells, and at most half the widest run, so that every level parts it."""
+    width, widest = region[-1].last + 1 - region[0].lo, max(r.last - r.lo for r in region)
+    return max(1, min(-(-width // max(1, parts)), widest // 2))
+
+
 def open_regions(runs: list[Run], first: list[int], last: list[int]) -> list[tuple[int, int]]:
     """Index ranges of runs in which a cut may fall and that hold a run of several groups."""
     spans: list[tuple[int, int]] = []

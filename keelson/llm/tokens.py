@@ -124,12 +124,29 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return keys, np.concatenate([[0], np.cumsum(lengths)]), Codes.from_bytes(data, 16 + 17 * n)
 
 
+class Library:
+    """The tokenizers library behind the chunk cache of TextEncoder; one for each worker process."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.texts = TextEncoder(lambda text: self.encode_all([text])[0], limit=400_000)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        self.texts.prime(texts, self.encode_all)
+        return [self.texts(t) for t in texts]
+
+
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> TextEncoder:
-    from tokenizers import Tokenizer
+def library(path: str) -> Library:
+    import os
 
-    tokenizer = Tokenizer.from_file(path)
-    return TextEncoder(lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks already use all cores
+    return Library(path)
 
 
 def write(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,13 +162,13 @@ def write(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", tex
     bounds = id_bounds(docs, "doc_id", parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = library_encoder(path)
+        encode_texts = library(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         out = Rows("doc_id bigint, codes binary")
         for big in batches:
             for batch in slices(big):
-                for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                    packed = Codes.encode(np.frombuffer(texts(text or "") + end, "<u4")).to_bytes()
+                for key, ids in zip(batch[0].to_pylist(), encode_texts([t or "" for t in batch[1].to_pylist()]), strict=True):
+                    packed = Codes.encode(np.frombuffer(ids + end, "<u4")).to_bytes()
                     out.add(key, packed, size=len(packed))
                     if out.full():
                         yield out.take()

@@ -138,7 +138,7 @@ def test_bounds_hold_at_random(spark):
         while i < len(sizes):
             k = rng.randint(1, 5)
             total = sum(sizes[i : i + k])
-            runs.append(shards.Run(at, at + total, len(sizes[i : i + k]) == 1))
+            runs.append(shards.Run(at, at + total, at + total - sizes[i : i + k][-1]))
             at += total
             i += k
         low, high = shards.bracket(runs, max(sizes), n)

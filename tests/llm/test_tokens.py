@@ -40,15 +40,6 @@ def test_long_piece(reference):
     assert encoder.encode_piece(piece.encode()) == reference.encode_ordinary(piece)
 
 
-def test_rank_queue_pops_lowest_leftmost():
-    queue, rng = bpe.RankQueue(70_000), random.Random(0)
-    items = [(rng.randrange(70_000) if rng.random() < 0.5 else 7, i) for i in range(500)]
-    rng.shuffle(items)
-    for item in items:
-        queue.push(*item)
-    assert [queue.pop() for _ in items] == sorted(items) and not queue.top
-
-
 def test_bpe_query_rows(spark, reference):
     data = [*rows(), (None, "x y"), (1, "x y"), (1, "x y")]
     got = sorted(map(tuple, bpe.digests(documents(spark, data), RANKS, public_tokenizers.PATTERN).collect()), key=str)
