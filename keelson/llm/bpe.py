@@ -268,10 +268,10 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, no shuffle."""
+def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes and decodes in one pass, no shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, texts = coder(path, pattern)
@@ -282,9 +282,10 @@ def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text
                 for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                     ids = np.frombuffer(texts(text or ""), "<u4").tolist()
                     listed = hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest()
-                    out.add(key, len(ids), listed, hashlib.sha256(bpe.decode(ids)).hexdigest())
-                if out.full():
-                    yield out.take()
+                    row = key, len(ids), listed, hashlib.sha256(bpe.decode(ids)).hexdigest()
+                    out.add(*row, *[np.array(ids, np.int32)] * with_ids, size=4 * len(ids) * with_ids)
+                    if out.full():
+                        yield out.take()
         yield from out.rest()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -162,6 +162,11 @@ def forest(index: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray,
     return points[moved], points[label[moved]]
 
 
+def leaf_size(radius: int) -> int:
+    """Beyond a few bits the triangle bound prunes next to nothing, and many leaves only add visits."""
+    return LEAF if radius <= 3 else 8 * LEAF
+
+
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) enough to join every linked pair."""
     spark = fps.sparkSession
@@ -169,7 +174,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     rate = min(1.0, SAMPLE / max(n, 1))
     chosen = fps if rate == 1 else fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(rate * (1 << 30)))
     sample = np.array([r["fp"] for r in chosen.limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    tree = VantageTree(sample, int(LEAF * rate), radius)
+    tree = VantageTree(sample, int(leaf_size(radius) * rate), radius)
     homes = "leaf int, n bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +241,17 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(partitions(spark), "leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(search, found)
 
 
+def first_of_groups(df: DataFrame, width: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df without the rows whose group has a smaller id. Rows that repeat an id stay or go together,
+    and so do rows without an id (they stay if their group has none)."""
+    groups = cluster(fingerprints(df, width, id_col, text_col), radius)
+    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
+    nameless = gone.where(F.col("__gone").isNull()).limit(1).count()
+    kept = df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    return kept.where(df[id_col].isNotNull()) if nameless else kept
+
+
 def cluster(prints: DataFrame, radius: int) -> DataFrame:
     """doc_id, fp, component_id of (doc_id, fp): the smallest id reachable over links of radius bits or fewer."""
     prints = materialize(prints, "fingerprints")
