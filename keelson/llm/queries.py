@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, digest, langid, shards, simhash, suffix, tokens
+from . import bpe, chat, decontam, digest, html, langid, shards, simhash, suffix, tokens
 from .common import table
 
 
@@ -37,6 +37,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format(table(spark, sf_dir, "conversations"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.texts(table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removals(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_fingerprint": op4_fingerprint,
     "op5_simhash": op5_simhash,
+    "op6_chat": op6_chat,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html": op8_html,
     "op9_token_ids": op9_token_ids,
     "op10_shards": op10_shards,
 }
