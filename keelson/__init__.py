@@ -1,0 +1 @@
+"""A PySpark-native engine for deterministic record processing."""
