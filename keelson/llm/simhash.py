@@ -30,19 +30,21 @@ from .common import Rows, arrow_schema, materialize, partitions, slices
 from .graph import components
 
 SEED = 42
-SAMPLE = 1 << 17  # most fingerprints (8 bytes each) that the tree is built from
+SAMPLE = 1 << 17  # most fingerprints that the tree is built from
 LEAF = 2048
 HOT = 8 * LEAF  # a leaf with more homes is dealt to several tasks
 
 
-def shingle_hashes(words: list[bytes], width: int) -> list[int]:
-    """XXH64 of each run of width words, joined by spaces."""
-    if not words:
-        return []
+def shingles(words: list[bytes], width: int) -> list[bytes]:
+    """Each run of width words, joined by spaces; all words if there are fewer."""
     if len(words) <= width:
-        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    hashed, join = xxhash.xxh64_intdigest, b" ".join
-    return [hashed(join(x), SEED) for x in zip(*(words[i:] for i in range(width)), strict=False)]
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)))
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = SEED) -> list[int]:
+    hashed = xxhash.xxh64_intdigest
+    return [hashed(x, seed) for x in shingles(words, width)]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,17 +63,23 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every whole text; no shuffle."""
-    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp bigint"
+def fingerprints(df: DataFrame, width: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp of every whole text; no shuffle. One plane: 64 bits as a signed long. More: as many
+    times eight bytes, each from hashes of a seed of its own (the first is the same)."""
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp " + ("bigint" if planes == 1 else "binary")
+
+    def bits_of(words: list[bytes]) -> object:
+        if planes == 1:
+            bits = majority(np.array(shingle_hashes(words, width), dtype=np.uint64))
+            return bits - (bits >> 63 << 64)
+        return b"".join(majority(np.array(shingle_hashes(words, width, SEED + i), dtype=np.uint64)).to_bytes(8, "little") for i in range(planes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(schema)
         for big in batches:
             for batch in slices(big):
                 for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                    bits = majority(np.array(shingle_hashes(words_of(text), width), dtype=np.uint64))
-                    out.add(key, bits - (bits >> 63 << 64))
+                    out.add(key, bits_of(words_of(text)))
                 if out.full():
                     yield out.take()
         yield from out.rest()
@@ -79,13 +87,31 @@ def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def to_points(column: pa.Array) -> np.ndarray:
+    """(n, planes) unsigned words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy().view(np.uint64).reshape(-1, 1)
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, "<u8").astype(np.uint64).reshape(len(column), -1) if joined else np.zeros((0, 1), np.uint64)
+
+
+def from_points(points: np.ndarray, kind: str) -> pa.Array:
+    if kind == "bigint":
+        return pa.array(points[:, 0].view(np.int64))
+    return pa.array([p.tobytes() for p in np.ascontiguousarray(points, dtype="<u8")], pa.binary())
+
+
+def apart(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(points ^ vantage).sum(axis=1, dtype=np.int16)
+
+
 class VantageTree:
     """Splits by Hamming distance. nodes: (vantage point, mu, inside, outside) or a leaf's number."""
 
     def __init__(self, sample: np.ndarray, leaf: int, radius: int):
         self.radius, self.nodes, self.leaves = radius, [], 0
         self.random = np.random.default_rng(SEED)
-        self.root = self.build(np.unique(sample), max(leaf, 2))
+        self.root = self.build(np.unique(sample, axis=0), max(leaf, 2))
 
     def build(self, points: np.ndarray, leaf: int) -> int:
         at = len(self.nodes)
@@ -99,11 +125,11 @@ class VantageTree:
             self.nodes[at] = (vantage, mu, self.build(points[d <= mu], leaf), self.build(points[d > mu], leaf))
         return at
 
-    def split(self, points: np.ndarray) -> tuple[np.uint64, int, np.ndarray] | None:
+    def split(self, points: np.ndarray) -> tuple[np.ndarray, int, np.ndarray] | None:
         """Of a few candidates, the vantage point that puts fewest beside its boundary; none if it parts nothing."""
         best = None
-        for vantage in self.random.choice(points, min(12, len(points)), replace=False):
-            d = np.bitwise_count(points ^ vantage).astype(np.int16)
+        for vantage in points[self.random.choice(len(points), min(12, len(points)), replace=False)]:
+            d = apart(points, vantage)
             mu = int(np.median(d)) - (np.median(d) == d.max())
             inside, near = np.count_nonzero(d <= mu), np.count_nonzero(np.abs(d - mu - 0.5) < self.radius)
             cost = max(inside, len(points) - inside) + near
@@ -124,7 +150,7 @@ class VantageTree:
                 out.append((who, np.full(len(who), node), home))
                 continue
             vantage, mu, inside, outside = node
-            d = np.bitwise_count(points[who] ^ vantage).astype(np.int16)
+            d = apart(points[who], vantage)
             near = d <= mu + self.radius
             stack.append((inside, who[near], home[near] & (d[near] <= mu)))
             far = (d > mu) | ~home & (d > mu - self.radius)
@@ -140,14 +166,18 @@ def forest(index: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray,
     Blocks of the comparison are small; pairs that are joined already are dropped at once, so what
     is kept is linear in the number of fingerprints.
     """
-    points = np.unique(np.concatenate([index, ask]))
+    points, place = np.unique(np.concatenate([index, ask]), axis=0, return_inverse=True)
+    at, asks = place.ravel()[: len(index)], place.ravel()[len(index) :]
     label = np.arange(len(points))
-    at, asks = np.searchsorted(points, index), np.searchsorted(points, ask)
+    planes = [np.ascontiguousarray(points[:, i]) for i in range(points.shape[1])]
     for i in range(0, len(ask), 64):
         mine = asks[i : i + 64]
         for j in range(0, len(index), 4096):
             theirs = at[j : j + 4096]
-            close = np.bitwise_count(points[mine][:, None] ^ points[theirs][None, :]) <= radius
+            d = np.bitwise_count(planes[0][mine][:, None] ^ planes[0][theirs][None, :])
+            for plane in planes[1:]:
+                d += np.bitwise_count(plane[mine][:, None] ^ plane[theirs][None, :])
+            close = d <= radius
             x, y = np.nonzero(close)
             if not len(x):
                 continue
@@ -173,14 +203,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     n = fps.count()
     rate = min(1.0, SAMPLE / max(n, 1))
     chosen = fps if rate == 1 else fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    sample = np.array([r["fp"] for r in chosen.limit(2 * SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    kind = fps.schema["fp"].dataType.simpleString()
+    sample = to_points(pa.array([r["fp"] for r in chosen.select("fp").limit(2 * SAMPLE).collect()], pa.int64() if kind == "bigint" else pa.binary()))
     tree = VantageTree(sample, int(leaf_size(radius) * rate), radius)
     homes = "leaf int, n bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(tree.leaves, np.int64)
         for batch in batches:
-            _, leaf, home = tree.route(batch[0].to_numpy().view(np.uint64))
+            _, leaf, home = tree.route(to_points(batch[0]))
             total += np.bincount(leaf[home], minlength=tree.leaves)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], schema=arrow_schema(homes))
@@ -189,14 +220,14 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     shares = np.ones(tree.leaves, np.int64)  # at most one row for each leaf, and leaves are as bounded as the sample
     for r in full.collect():
         shares[r["leaf"]] = -(-r["n"] // HOT)
-    routed = "leaf int, share int, fp bigint, role int"
+    routed = f"leaf int, share int, fp {kind}, role int"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 4096):
-                points = batch[0].to_numpy().view(np.uint64)
+                points = to_points(batch[0])
                 who, leaf, home = tree.route(points)
-                share = (points[who] % np.uint64(1_000_003)).astype(np.int64) % shares[leaf]
+                share = (points[who, 0] % np.uint64(1_000_003)).astype(np.int64) % shares[leaf]
                 extra = np.flatnonzero(home & (shares[leaf] > 1))  # homes of a shared leaf stand in each share
                 times = shares[leaf[extra]]
                 again = np.repeat(extra, times)
@@ -204,14 +235,14 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
                 other = each != share[again]
                 again, each = again[other], each[other]
                 columns = [
-                    (np.concatenate([leaf, leaf[again]]), pa.int32()),
-                    (np.concatenate([share, each]), pa.int32()),
-                    (points[np.concatenate([who, who[again]])].view(np.int64), pa.int64()),
-                    (np.concatenate([np.where(home, 1, 2), np.zeros(len(again), int)]), pa.int32()),
+                    pa.array(np.concatenate([leaf, leaf[again]]), pa.int32()),
+                    pa.array(np.concatenate([share, each]), pa.int32()),
+                    from_points(points[np.concatenate([who, who[again]])], kind),
+                    pa.array(np.concatenate([np.where(home, 1, 2), np.zeros(len(again), int)]), pa.int32()),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], schema=arrow_schema(routed))
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema(routed))
 
-    found = "a bigint, b bigint"
+    found = f"a {kind}, b {kind}"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's leaves one after another: role 0 is index only, 1 index and query, 2 query only."""
@@ -221,10 +252,11 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             fp, role = (np.concatenate(x) for x in zip(*held, strict=True))
             a, b = forest(fp[role < 2], fp[role > 0], radius)
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], schema=arrow_schema(found))
+            return pa.RecordBatch.from_arrays([from_points(x, kind) for x in (a, b)], schema=arrow_schema(found))
 
         for batch in batches:
-            leaf, share, fp, role = (batch[i].to_numpy() for i in range(4))
+            leaf, share, role = (batch[i].to_numpy() for i in (0, 1, 3))
+            fp = to_points(batch[2])
             cuts = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(share) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(leaf)], strict=True):
                 if lo == hi:
@@ -233,7 +265,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
                     if held:
                         yield close()
                     now, held = (leaf[lo], share[lo]), []
-                held.append((fp[lo:hi].view(np.uint64), role[lo:hi]))
+                held.append((fp[lo:hi], role[lo:hi]))
         if held:
             yield close()
 
@@ -241,10 +273,10 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(partitions(spark), "leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(search, found)
 
 
-def first_of_groups(df: DataFrame, width: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_groups(df: DataFrame, width: int, radius: int, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose group has a smaller id. Rows that repeat an id stay or go together,
     and so do rows without an id (they stay if their group has none)."""
-    groups = cluster(fingerprints(df, width, id_col, text_col), radius)
+    groups = cluster(fingerprints(df, width, planes, id_col, text_col), radius)
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
     nameless = gone.where(F.col("__gone").isNull()).limit(1).count()

@@ -84,6 +84,29 @@ def test_simhash_links_through_many_leaves(spark, monkeypatch, leaf, hot):
     assert got == brute_components(prints, 2)
 
 
+def test_wide_fingerprints_group_near_copies(spark):
+    """Copies with one word in forty changed meet at 25 of 128 bits; strangers don't."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    data, want = [(None, "odd one out"), (500, None)], {None, 500}
+    for i in range(12):
+        base = [word() for _ in range(240)]
+        for j in range(4):
+            copy = list(base)
+            for k in rng.sample(range(240), 2 if j else 0):
+                copy[k] = word()
+            data.append((100 + 10 * i + j, " ".join(copy)))
+        want.add(100 + 10 * i)
+    left = simhash.first_of_groups(documents(spark, data), 5, 25, 2)
+    assert left.columns == documents(spark, data).columns and {r["doc_id"] for r in left.collect()} == want
+    prints = simhash.fingerprints(documents(spark, data), 5, 2)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.cluster(prints, 25).collect()}
+    ints = {r["doc_id"]: int.from_bytes(r["fp"], "little") for r in prints.where("doc_id is not null").collect()}
+    assert {k: v for k, v in got.items() if k is not None} == brute_components(ints, 25)
+
+
 def brute_minimax(sizes: list[int], n: int) -> list[int]:
     def cut(capacity):
         out, held = [], 0
