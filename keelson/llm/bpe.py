@@ -20,6 +20,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,25 +189,28 @@ class TextEncoder:
         self.later = Chunks(encode, " ", limit)
 
     def __call__(self, text: str) -> bytes:
+        return self.join(text, text.split(" "))
+
+    def join(self, text: str, chunks: list[str]) -> bytes:
+        """Ids of a text that was split at its spaces."""
         if not text:
             return b""
-        head, *tail = text.split(" ")
         try:
-            return self.first[head] + b"".join(map(self.later.__getitem__, tail))
+            return self.first[chunks[0]] + b"".join(map(self.later.__getitem__, chunks[1:]))
         except LookupError:
             pass
         head, *tail = SURE_BREAK.split(text)
         return self.encode(head) + b"".join([self.odd(x) for x in tail])
 
-    def prime(self, texts: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> None:
-        """Encode the chunks that are not known yet in one call."""
-        found: set[str] = set()
-        for text in texts:
-            found.update(text.split(" ")[1:])
-        later = self.later
-        new = [c for c in found if c not in later and c not in later.old and c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
+    def all(self, texts: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of several texts; their chunks that are not known yet are encoded in one call."""
+        split = [text.split(" ") for text in texts]
+        found = set(chain.from_iterable(split))
+        later, old = self.later, self.later.old
+        new = [c for c in found if c not in later and c not in old and c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
         for chunk, packed in zip(new, encode_all([" " + c for c in new]), strict=True):
             later.keep(chunk, packed)
+        return list(map(self.join, texts, split))
 
     def odd(self, chunk: str) -> bytes:
         try:

@@ -131,14 +131,31 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.texts = TextEncoder(lambda text: self.encode_all([text])[0], limit=400_000)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
+        added = self.tokenizer.get_added_tokens_decoder()
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token.encode()) if i in added else len(token)
+        self.texts = TextEncoder(lambda text: self.ids(text).tobytes(), limit=400_000)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def encode_all(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that each start with a sure break are encoded as one text, whose ids are then parted
+        where the bytes of the chunks end; no token reaches over a break."""
+        out: list[bytes] = []
+        for lo in range(0, len(chunks), 4096):
+            part = chunks[lo : lo + 4096]
+            ids = self.ids("".join(part))
+            ends = np.cumsum([len(c.encode()) for c in part])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()]
+            packed = ids.tobytes()
+            out += [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        self.texts.prime(texts, self.encode_all)
-        return [self.texts(t) for t in texts]
+        return self.texts.all(texts, self.encode_all)
 
 
 @lru_cache(maxsize=2)

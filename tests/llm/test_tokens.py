@@ -91,3 +91,15 @@ def test_segments_split(spark, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT_IDS", 50)
     keys, offsets, codes = tokens.unpack_segment(tokens.pack_segment([None, 4], [2, 3], np.array([1, 2, 300, 70_000, 5])))
     assert keys == [None, 4] and offsets.tolist() == [0, 2, 5] and codes[3] == 70_000
+
+
+def test_library_cache_equals_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, cached = Tokenizer.from_file(path), tokens.Library(path)
+    rng = random.Random(6)
+    cases = [t or "" for t in texts()] + ["a <|endoftext|> b<|endoftext|>c", "x <|endoftext|>", "é <|endof 日本 text|>"]
+    cases += ["".join(rng.choice(" \n\t a'sé1²٣日😀_-\x1c\x85") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in cached(cases)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in cases]
