@@ -132,11 +132,12 @@ class Library:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.word = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"  # of ids on the way to their segment
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token stands for a byte
         added = self.tokenizer.get_added_tokens_decoder()
         for token, i in vocabulary.items():
             self.lengths[i] = len(token.encode()) if i in added else len(token)
-        self.texts = TextEncoder(lambda text: self.ids(text).tobytes(), limit=400_000)
+        self.texts = TextEncoder(lambda text: self.ids(text).tobytes(), limit=600_000)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -180,12 +181,13 @@ def write(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = library(path)
+        word = encode_texts.word if end_id < 1 << 16 else "<u4"
         end = np.array([end_id], dtype="<u4").tobytes()
         out = Rows("doc_id bigint, codes binary")
         for big in batches:
             for batch in slices(big):
                 for key, ids in zip(batch[0].to_pylist(), encode_texts([t or "" for t in batch[1].to_pylist()]), strict=True):
-                    packed = Codes.encode(np.frombuffer(ids + end, "<u4")).to_bytes()
+                    packed = np.frombuffer(ids + end, "<u4").astype(word).tobytes() + bytes([np.dtype(word).itemsize])
                     out.add(key, packed, size=len(packed))
                     if out.full():
                         yield out.take()
@@ -209,7 +211,7 @@ def write(df: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", tex
                 if b != bucket:
                     close()
                     bucket, start = b, 0
-                found = Codes.from_bytes(codes).decode()
+                found = np.frombuffer(codes, f"<u{codes[-1]}", offset=0, count=(len(codes) - 1) // codes[-1])
                 if held and held + len(found) > SEGMENT_IDS:
                     close()
                 keys.append(key)
