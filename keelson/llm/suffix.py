@@ -41,6 +41,7 @@ from .common import Rows, free_shuffles, materialize, partitions, slices
 LENGTH = 100
 GRAM = 32
 HOT = 20_000
+RANGES = 8  # of suffixes for each task
 SAMPLE_TEXTS = 400  # texts (in expectation) whose anchors give splitters
 LOWEST = -(1 << 63)
 SPLIT = 1 << 20  # bytes of a text that are hashed at a time; places fit the low bits of a key
@@ -143,7 +144,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
                     place["at"], place["lo"], place["hi"] = at, at - last, at - first
                     held.append((name, hashed, place))
                     size += len(at)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -304,12 +305,13 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
 
     spark = df.sparkSession
     parts = partitions(spark)
+    ranges = RANGES * parts  # several small ranges a task, one after another, keep what a task holds small
     docs = keyed(df, id_col, text_col)
     keys = materialize(docs.select("k", "md5").distinct(), "texts")
     first = keys.groupBy("md5").agg(F.min("k").alias("first"))
     places = materialize(repeated_anchors(docs, length), "anchors")
     free_shuffles(spark)
-    cuts = splitters(docs, parts, length)
+    cuts = splitters(docs, ranges, length)
     most = length - GRAM
     named = first.select(F.col("first").alias("k"), "md5", F.concat(F.substring("md5", 1, 7), F.lit(b"\1")).alias("text_id"))
     listed = places.groupBy("text_id").agg(F.collect_list("places").alias("places"))
@@ -319,14 +321,11 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(suffixes)
-        before = None
         known: set[tuple[bytes, int]] = set()  # windows at shared anchors that this task has passed on
         for big in batches:
             for batch in slices(big):
                 for k, md5, text, packed in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
-                    if (k, md5) == before:
-                        continue  # the same row once more
-                    before, data = (k, md5), text.encode()
+                    data = text.encode()
                     place = np.unique(np.concatenate([np.frombuffer(p, PLACE) for p in packed]))
                     for at, lo, hi, hot in place.tolist():
                         if at + GRAM > len(data) or at < lo:
@@ -336,9 +335,9 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
                             # the bytes before (nearest first), then from the anchor on, as far as its windows reach
                             body = data[at - b : at + length - a]
                             token = body[b : b + GRAM]
-                            bucket = xxhash.xxh64_intdigest(body) % parts if hot else bisect_right(cuts, token)
+                            bucket = xxhash.xxh64_intdigest(body) % ranges if hot else bisect_right(cuts, token)
                             if hot and (body, b) in known:  # documents come in order, so this one is later
-                                out.add(k % parts, k, md5, at, a, b, None)
+                                out.add(k % ranges, k, md5, at, a, b, None)
                                 continue
                             if hot and len(known) < 1 << 16:
                                 known.add((body, b))
@@ -398,9 +397,9 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
         if held:
             yield from close()
 
-    body = docs.join(wanted, ["k", "md5"]).select("k", "md5", "text", "places").sortWithinPartitions("k", "md5")
+    body = docs.join(wanted, ["k", "md5"]).select("k", "md5", "text", "places").dropDuplicates(["k", "md5"]).sortWithinPartitions("k", "md5")
     dealt = body.mapInArrow(emit, suffixes)
-    found = dealt.repartitionById(max(parts, len(cuts) + 1), F.col("bucket")).sortWithinPartitions("bucket", "k", "md5", "at").mapInArrow(sort, done)
+    found = dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "k", "md5", "at", "hi").mapInArrow(sort, done)
     found = materialize(found, "spans")
     free_shuffles(spark)
     gathered = found.groupBy("k", "md5").agg(F.collect_list("spans").alias("spans")).withColumn("copy", F.lit(False))

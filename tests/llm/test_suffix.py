@@ -74,7 +74,8 @@ def test_removals(spark, monkeypatch, seed, hot):
 
 def test_odd_tables(spark):
     assert suffix.removals(documents(spark, [])).count() == 0
-    long = "".join(random.Random(1).choice("abcdef") for _ in range(400))
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdef") for _ in range(400))
     got = suffix.removals(documents(spark, [(None, long), (None, long), (4, long), (4, long), (5, long[:200])])).collect()
     assert sorted(((r["doc_id"] or -1), r["n_removed"]) for r in got) == [(-1, 0), (-1, 0), (4, 400), (4, 400), (5, 200)]
 
