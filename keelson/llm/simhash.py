@@ -18,6 +18,7 @@ component null; equal fingerprints are one node, so copies are never expanded in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,37 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(words, width), dtype=np.uint64))
+
+
+def mark_of(hashes: np.ndarray) -> bytes:
+    """16 bytes that stand for a set of shingles."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def marks(df: DataFrame, width: int, planes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, mark of every whole text, both of its distinct shingles; no shuffle. Counting each
+    shingle once ties the angle between fingerprints to the Jaccard similarity of the sets."""
+    schema = f"doc_id {df.schema[id_col].dataType.simpleString()}, fp binary, mark binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Rows(schema)
+        for big in batches:
+            for batch in slices(big):
+                for key, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                    words = words_of(text)
+                    grams = list(set(shingles(words, width)))
+                    hashed = [np.array([xxhash.xxh64_intdigest(g, SEED + i) for g in grams], dtype=np.uint64) for i in range(planes)]
+                    out.add(key, b"".join(majority(h).to_bytes(8, "little") for h in hashed), mark_of(np.unique(hashed[0])))
+                if out.full():
+                    yield out.take()
+        yield from out.rest()
+
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
 def fingerprints(df: DataFrame, width: int = 3, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp of every whole text; no shuffle. One plane: 64 bits as a signed long. More: as many
     times eight bytes, each from hashes of a seed of its own (the first is the same)."""
@@ -273,10 +305,86 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.repartition(partitions(spark), "leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(search, found)
 
 
-def first_of_groups(df: DataFrame, width: int, radius: int, planes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows whose group has a smaller id. Rows that repeat an id stay or go together,
-    and so do rows without an id (they stay if their group has none)."""
-    groups = cluster(fingerprints(df, width, planes, id_col, text_col), radius)
+def jaccard_groups(sets: list[np.ndarray], likeness: float) -> list[int]:
+    """For each set the first one that it is joined to by pairs of a Jaccard similarity of likeness or more.
+
+    Two sets so alike share one of the least hashes of each: of n, all but as many as they must have
+    in common, and one. Only sets that meet there are compared, and none with a group it is in.
+    """
+    root, held, places = list(range(len(sets))), [], {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, hashes in enumerate(sets):
+        values = hashes.tolist()
+        own, n = frozenset(values), len(values)
+        held.append(own)
+        head = values[: n - math.ceil(likeness * n - 1e-9) + 1] if n else []
+        for j in sorted(set().union(*(places.get(h, ()) for h in head))):
+            if find(j) != find(i) and likeness * max(n, len(held[j])) <= min(n, len(held[j])) + 1e-9:
+                both = len(own & held[j])
+                if both / (n + len(held[j]) - both) >= likeness:
+                    low, high = sorted((find(i), find(j)))
+                    root[high] = low
+        for h in head:
+            places.setdefault(h, []).append(i)
+    return [find(i) for i in range(len(sets))]
+
+
+def alike(df: DataFrame, width: int, radius: int, planes: int, likeness: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: the smallest id reachable over pairs whose sets of shingles have a Jaccard
+    similarity of likeness or more.
+
+    Fingerprints within radius bits only say which texts to compare: one text for each distinct set of
+    shingles is sent to the task of its candidates, and the sets themselves decide there.
+    """
+    prints = materialize(marks(df, width, planes, id_col, text_col), "fingerprints")
+    nodes = materialize(prints.groupBy("mark", "fp").agg(F.min("doc_id").alias("least")), "nodes")
+    joined = components(links(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    rooted = materialize(nodes.join(joined, "fp", "left").select("mark", "least", F.coalesce("root", "fp").alias("root")), "candidates")
+    several = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    asked = rooted.join(several, "root").select("mark", "root", F.col("least").alias("__id"))
+    texts = df.select(F.col(id_col).alias("__of"), F.col(text_col).alias("text")).join(asked, F.col("__of").eqNullSafe(F.col("__id")))
+    schema = "mark binary, first binary"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A candidate component after another, each with one text for each mark."""
+        out, now, held = Rows(schema), None, {}
+
+        def close() -> None:
+            names = list(held)
+            for name, first in zip(names, jaccard_groups(list(held.values()), likeness), strict=True):
+                out.add(name, names[first])
+
+        for big in batches:
+            for batch in slices(big):
+                for root, mark, text in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                    if root != now:
+                        close()
+                        now, held = root, {}
+                    hashes = shingle_set(words_of(text), width)
+                    if mark_of(hashes) == mark:  # an id that repeats brings other texts too
+                        held[mark] = hashes
+                if out.full():
+                    yield out.take()
+        close()
+        yield from out.rest()
+
+    sent = texts.select("root", "mark", "text").repartition(partitions(df.sparkSession), "root").sortWithinPartitions("root")
+    verified = rooted.join(materialize(sent.mapInArrow(compare, schema), "verified"), "mark", "left").select("mark", "least", F.coalesce("first", "mark").alias("first"))
+    ids = verified.groupBy("first").agg(F.min("least").alias("component_id"))
+    return prints.join(verified.join(ids, "first").select("mark", "component_id"), "mark").select("doc_id", "component_id")
+
+
+def first_of_groups(
+    df: DataFrame, width: int, radius: int, planes: int = 1, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8
+) -> DataFrame:
+    """df without the rows whose group (by the exact similarity of shingles) has a smaller id. Rows that
+    repeat an id stay or go together, and so do rows without an id (they stay if their group has none)."""
+    groups = alike(df, width, radius, planes, likeness, id_col, text_col)
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
     gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
     nameless = gone.where(F.col("__gone").isNull()).limit(1).count()

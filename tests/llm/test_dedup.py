@@ -107,6 +107,40 @@ def test_wide_fingerprints_group_near_copies(spark):
     assert {k: v for k, v in got.items() if k is not None} == brute_components(ints, 25)
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """Pairs on both sides of 0.8, four shingles of five, texts of repeated words, and chains, against brute force."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    data = []
+    for i in range(60):
+        base = [word() for _ in range(rng.choice([8, 9, 14, 60, 200, 400]))]
+        data.append(base)
+        for changes in (1, 2, 4, 8):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), min(changes * max(1, len(base) // 150), len(base))):
+                copy[k] = word()
+            data.append(copy)
+        data += [base[: -max(1, len(base) // 6)], base[: -max(1, len(base) // 4)], base + base[: len(base) // 2] * 3]
+    data += [["la"] * 300 + [word() for _ in range(12)] for _ in range(4)]  # mostly one word, hardly a shingle in common
+    rng.shuffle(data)
+    texts = {100 + i: " ".join(words) for i, words in enumerate(data)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in ((k, t.split()) for k, t in texts.items())}
+    root, near = {k: k for k in sets}, [0, 0]
+    pairs = [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b]
+    for _, _, x in pairs:
+        near[x >= 0.8] += x > 0.6
+    assert min(near) > 20
+    while changed := [(a, b) for a, b, x in pairs if x >= 0.8 and root[a] != root[b]]:
+        for a, b in changed:
+            root[a] = root[b] = min(root[a], root[b])
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, [*texts.items(), (7, ""), (8, None)]), "").collect()}
+    assert left == {k for k in root if root[k] == k} | {7}
+
+
 def brute_minimax(sizes: list[int], n: int) -> list[int]:
     def cut(capacity):
         out, held = [], 0
