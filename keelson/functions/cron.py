@@ -56,10 +56,34 @@ def matches(ts: Column, masks: list[Column]) -> Column:
     return found
 
 
+def _highest(mask: Column) -> Column:
+    """Number of the highest bit set; null for none."""
+    return F.when(mask > 0, F.length(F.bin(mask)) - 1)
+
+
 def latest_trigger(start: Column, end: Column, masks: list[Column]) -> Column:
-    """The last matching minute in (start, end], both cut to minutes, at most a week back; else null."""
+    """The last matching minute in (start, end], both cut to minutes, at most a week back; else null.
+
+    In closed form: of the eight days that a week touches the last one whose date matches, and there
+    the highest hour and minute of the masks.
+    """
     first, last = F.floor(start / 60) * 60, F.floor(end / 60) * 60
     low = F.greatest(first + 60, last - (LOOK_BACK - 1) * 60, F.lit(60))
-    minutes = F.sequence(last, F.greatest(low, F.lit(0)), F.lit(-60).cast("bigint"))
-    hits = F.filter(minutes, lambda t: matches(t, masks))
-    return F.when((start < end) & (last >= low), F.try_element_at(hits, F.lit(1)))
+    minute, hour, *date = (m.cast("bigint") for m in masks)
+    one, midnight = F.lit(1).cast("bigint"), F.floor(last / 86400) * 86400
+    shift = lambda n: F.call_function("shiftleft", one, n.cast("int"))
+    h, m = F.floor((last - midnight) / 3600), F.floor((last - midnight) / 60) % 60
+    same = F.when(F.call_function("getbit", hour, h.cast("int")) == 1, _highest(minute.bitwiseAND(shift(m + 1) - 1)))
+    earlier = _highest(hour.bitwiseAND(shift(h) - 1)) * 60 + _highest(minute)
+
+    def on_day(back: int) -> Column:
+        day = midnight - back * 86400
+        fields = civil(day)
+        fits = F.lit(True)
+        for name, mask in zip(NAMES[2:], date, strict=True):
+            fits = fits & (F.call_function("getbit", mask, fields[name]) == 1)
+        at = F.coalesce(h * 60 + same, earlier) if not back else _highest(hour) * 60 + _highest(minute)
+        return F.when(fits, day + at * 60)
+
+    hit = F.coalesce(*map(on_day, range(8)))
+    return F.when((start < end) & (last >= low) & (hit >= low), hit)

@@ -257,8 +257,18 @@ JOBS = [("five", "*/5 * * * *", None), ("weekday", "30 8 * * 1-5", None), ("mont
   UNION ALL SELECT event_id, 'monthly', m FROM h WHERE mi = 0 AND ho = 0 AND dy = 1 UNION ALL SELECT event_id, 'sunday', m FROM h WHERE mi IN (15, 45) AND ho % 6 = 0 AND wd = 0)
  SELECT t.event_id, i.id, max(j.m) AS trigger FROM t CROSS JOIN (VALUES ('five'), ('weekday'), ('monthly'), ('sunday')) i(id) LEFT JOIN j ON j.event_id = t.event_id AND j.id = i.id GROUP BY 1, 2""")
 def cron_triggers(spark, sf_dir):
-    ticks = events(spark, sf_dir).where("event_id % 100 = 0").select("event_id", "s")  # ticks of the clock, the feature's own rate
-    pairs = ticks.crossJoin(F.broadcast(queue.jobs(spark, JOBS)))
+    """The hundredth part of the ticks that its SQL takes; cron_triggers_all has them all."""
+    return job_triggers(spark, events(spark, sf_dir).where("event_id % 100 = 0"))
+
+
+@query()
+def cron_triggers_all(spark, sf_dir):
+    """Every event is a tick. Minute by minute SQL would be too slow, so rows only; tests compare with brute force."""
+    return job_triggers(spark, events(spark, sf_dir))
+
+
+def job_triggers(spark, ticks):
+    pairs = ticks.select("event_id", "s").crossJoin(F.broadcast(queue.jobs(spark, JOBS)))
     trigger = cron.latest_trigger(F.col("s") - 60 * 10081, F.col("s"), [F.col(f"m{i}") for i in range(5)])
     return pairs.select("event_id", "id", trigger.alias("trigger"))
 
