@@ -8,8 +8,9 @@ inside, and a visitor follows every branch the bound leaves open. Each linked pa
 the home leaf of one of them, and no link is lost. Leaves only emit a spanning forest of their
 links; components are then found by joins.
 
-A leaf that gets many fingerprints (a large group of near copies) is dealt to several tasks, each
-holding its fingerprints (8 bytes each) and a share of those that ask.
+A leaf that gets many fingerprints (a large group of near copies) is dealt to several tasks by blocks
+of about HOT, each task holding two of them. All pairs of blocks are compared, so the rows that are
+moved grow with n * n / HOT for the n fingerprints of a leaf.
 
 Edge cases: null or wordless texts have fingerprint zero and link like any other; fewer words than
 a shingle has make one shingle of all; null ids pass through, and a group without any id has
@@ -224,6 +225,30 @@ def forest(index: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray,
     return points[moved], points[label[moved]]
 
 
+def expand(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as often as times says, and the number of each time."""
+    again = np.repeat(rows, times)
+    return again, np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def spread(key: np.ndarray, leaf: np.ndarray, home: np.ndarray, blocks: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """index of the row, share of its leaf, role: 0 is index only, 1 index and query, 2 query only.
+
+    Homes stand in blocks, and a share compares two blocks or one with itself. Visitors go to each
+    block's own share; where they are many they stand in lanes, with a share for each block and lane.
+    """
+    k, v = blocks[leaf], lanes[leaf]
+    block, lane = key % k, key % np.maximum(v, 1)
+    mine, other = expand(np.flatnonzero(home), k[home])
+    low, high = np.minimum(block[mine], other), np.maximum(block[mine], other)
+    ask, to = expand(np.flatnonzero(~home), k[~home])
+    shown, each = expand(np.flatnonzero(home), v[home])
+    of_lane = lambda at, b, c: k[at] ** 2 + b * v[at] + c
+    share = [low * k[mine] + high, np.where(v[ask] > 0, of_lane(ask, to, lane[ask]), to * (k[ask] + 1)), of_lane(shown, block[shown], each)]
+    role = [np.where(low == high, 1, np.where(block[mine] == low, 0, 2)), np.full(len(ask), 2), np.zeros(len(shown), int)]
+    return np.concatenate([mine, ask, shown]), np.concatenate(share), np.concatenate(role)
+
+
 def leaf_size(radius: int) -> int:
     """Beyond a few bits the triangle bound prunes next to nothing, and many leaves only add visits."""
     return LEAF if radius <= 3 else 8 * LEAF
@@ -238,46 +263,37 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     kind = fps.schema["fp"].dataType.simpleString()
     sample = to_points(pa.array([r["fp"] for r in chosen.select("fp").limit(2 * SAMPLE).collect()], pa.int64() if kind == "bigint" else pa.binary()))
     tree = VantageTree(sample, int(leaf_size(radius) * rate), radius)
-    homes = "leaf int, n bigint"
+    sizes = "leaf int, homes bigint, visits bigint"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(tree.leaves, np.int64)
+        total = np.zeros((2, tree.leaves), np.int64)
         for batch in batches:
             _, leaf, home = tree.route(to_points(batch[0]))
-            total += np.bincount(leaf[home], minlength=tree.leaves)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], schema=arrow_schema(homes))
-
-    full = fps.select("fp").mapInArrow(count, homes).groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") > HOT)
-    shares = np.ones(tree.leaves, np.int64)  # at most one row for each leaf, and leaves are as bounded as the sample
-    for r in full.collect():
-        shares[r["leaf"]] = -(-r["n"] // HOT)
-    routed = f"leaf int, share int, fp {kind}, role int"
+            for i in (0, 1):
+                total[i] += np.bincount(leaf[home == (not i)], minlength=tree.leaves)
+        seen = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *map(pa.array, total[:, seen])], schema=arrow_schema(sizes))
+
+    summed = fps.select("fp").mapInArrow(count, sizes).groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
+    blocks, lanes = np.ones(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for r in summed.where((F.col("homes") > HOT) | (F.col("visits") > HOT)).collect():  # one row for each leaf, and leaves are as bounded as the sample
+        blocks[r["leaf"]] = max(1, -(-r["homes"] // HOT))
+        lanes[r["leaf"]] = -(-r["visits"] // HOT) if r["visits"] > HOT else 0
+    routed = f"leaf int, share bigint, fp {kind}, role int"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for batch in slices(big, 4096):
                 points = to_points(batch[0])
                 who, leaf, home = tree.route(points)
-                share = (points[who, 0] % np.uint64(1_000_003)).astype(np.int64) % shares[leaf]
-                extra = np.flatnonzero(home & (shares[leaf] > 1))  # homes of a shared leaf stand in each share
-                times = shares[leaf[extra]]
-                again = np.repeat(extra, times)
-                each = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                other = each != share[again]
-                again, each = again[other], each[other]
-                columns = [
-                    pa.array(np.concatenate([leaf, leaf[again]]), pa.int32()),
-                    pa.array(np.concatenate([share, each]), pa.int32()),
-                    from_points(points[np.concatenate([who, who[again]])], kind),
-                    pa.array(np.concatenate([np.where(home, 1, 2), np.zeros(len(again), int)]), pa.int32()),
-                ]
+                at, share, role = spread((points[who, 0] % np.uint64(1_000_003)).astype(np.int64), leaf, home, blocks, lanes)
+                columns = [pa.array(leaf[at], pa.int32()), pa.array(share), from_points(points[who[at]], kind), pa.array(role, pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow_schema(routed))
 
     found = f"a {kind}, b {kind}"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's leaves one after another: role 0 is index only, 1 index and query, 2 query only."""
+        """A task's leaves and shares one after another."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
         now = None
 

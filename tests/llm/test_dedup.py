@@ -84,6 +84,24 @@ def test_simhash_links_through_many_leaves(spark, monkeypatch, leaf, hot):
     assert got == brute_components(prints, 2)
 
 
+@pytest.mark.parametrize("visitors", [50, 900])
+def test_shares_are_bounded_and_meet_all_pairs(visitors):
+    """Each pair of homes, and each visitor with each home, meets in one share of at most two blocks."""
+    rng = np.random.default_rng(3)
+    n, hot = 700, 100
+    home = np.arange(n + visitors) < n
+    blocks, lanes = np.array([1, 7]), np.array([0, -(-visitors // hot) if visitors > hot else 0])
+    at, share, role = simhash.spread(rng.integers(0, 1_000_003, len(home)), np.ones(len(home), int), home, blocks, lanes)
+    met = np.zeros((len(home), len(home)), int)
+    for s in np.unique(share):
+        index, ask = at[(share == s) & (role < 2)], at[(share == s) & (role > 0)]
+        assert len(set(index)) == len(index) < 1.5 * hot and len(set(ask)) == len(ask) < 1.5 * hot + min(visitors, hot)
+        met[np.ix_(ask, index)] += 1
+    both = met + met.T
+    assert not met[:, ~home].any() and (met[np.ix_(~home, home)] == 1).all()
+    assert (both[np.ix_(home, home)] > 0).all() and both[np.ix_(home, home)].max() == 2
+
+
 def test_wide_fingerprints_group_near_copies(spark):
     """Copies with one word in forty changed meet at 25 of 128 bits; strangers don't."""
     import random
