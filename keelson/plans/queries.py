@@ -273,9 +273,9 @@ def job_triggers(spark, ticks):
     return pairs.select("event_id", "id", trigger.alias("trigger"))
 
 
-def graph(spark, sf_dir):
+def graph(spark, sf_dir, lines="l_returnflag = 'R'"):
     """Suppliers and parts that lines of returned goods link, both ways."""
-    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), (F.col("l_discount") + 0.1).alias("w"))
+    li = read(spark, sf_dir, "lineitem").where(lines).select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), (F.col("l_discount") + 0.1).alias("w"))
     both = li.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(li.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(F.max("w").alias("weight"))
 
@@ -284,6 +284,13 @@ def graph(spark, sf_dir):
  g AS (SELECT a AS s, b AS d FROM li UNION SELECT b, a FROM li), w(node, distance) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT g.d, w.distance + 1 FROM w JOIN g ON g.s = w.node WHERE w.distance < 6)
  SELECT node, min(distance) AS distance FROM w GROUP BY node""")
 def trust_distances(spark, sf_dir):
+    """Over the thinned graph that its SQL takes; trust_distances_all has all lines of returned goods."""
+    return trust.distances(graph(spark, sf_dir, "l_returnflag = 'R' AND l_quantity > 45"), F.lit(2))
+
+
+@query()
+def trust_distances_all(spark, sf_dir):
+    """Recursive SQL over all lines would be too slow, so rows only; tests compare with a plain search."""
     return trust.distances(graph(spark, sf_dir), F.lit(2))
 
 
