@@ -2,7 +2,8 @@
 
 language: keeps documents whose text is in a language that the labelled rows teach.
 near_dedup: sets of five-word shingles with a Jaccard similarity of 0.8 or more are near copies; SimHash
-    finds the pairs to compare, the sets decide; of each group of near copies the smallest id stays.
+    fingerprints in vantage-point trees find the pairs to compare, the sets decide; of each group of near
+    copies the smallest id stays.
 repeats: byte strings of 100 that occur earlier in the corpus are cut out of the texts.
 decontaminate: documents that hold an item of the benchmark go.
 encode: ids of every text, with digests of the ids and of the bytes decoded from them.
@@ -17,9 +18,6 @@ from keelson.llm import bpe, decontam, langid, simhash, suffix
 from keelson.llm.common import materialize, table
 
 WIDTH, LIKENESS = 5, 0.8  # words of a shingle; Jaccard similarity of near copies
-#: Words of 64 bits, and bits that may differ in candidates. At 0.8 some 29 of 192 bits differ (standard
-#: deviation 5; 36 for 4 shingles of 5, the worst case), in strangers 96 (7).
-PLANES, RADIUS = 3, 60
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_groups(docs, WIDTH, RADIUS, PLANES, likeness=LIKENESS)
+    return simhash.first_of_groups(docs, WIDTH, LIKENESS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty tables of materialize whose last reader is done; nothing that is still to run may read them."""
+    for df in tables:
+        df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_at)
 
 
 def free_shuffles(spark: SparkSession) -> None:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, root (smallest node reachable) of every node that has an edge to another node.
+    """node, root (smallest node reachable) of every node that has an edge to another node and isn't the root itself.
 
     Edges with a null end are ignored. Minima are pre-aggregated before each shuffle, and the join
     that hands them back is one that adaptive execution may split at a hot node. Each round is
@@ -27,4 +27,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, stars = stars, materialize(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)

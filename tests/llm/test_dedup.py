@@ -102,27 +102,67 @@ def test_shares_are_bounded_and_meet_all_pairs(visitors):
     assert (both[np.ix_(home, home)] > 0).all() and both[np.ix_(home, home)].max() == 2
 
 
-def test_wide_fingerprints_group_near_copies(spark):
-    """Copies with one word in forty changed meet at 25 of 128 bits; strangers don't."""
+def test_near_copies_of_hot_groups(spark, monkeypatch):
+    """Groups far larger than a block, copies with one word in forty changed, null ids and texts, clashing names."""
     import random
 
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr(simhash, "LEAF", 8)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    data, want = [(None, "odd one out"), (500, None)], {None, 500}
-    for i in range(12):
+    data, want = [(None, "odd one out"), (500, None), (501, "")], {None, 500}
+    for i in range(6):
         base = [word() for _ in range(240)]
-        for j in range(4):
+        for j in range(90 if i == 0 else 4):
             copy = list(base)
             for k in rng.sample(range(240), 2 if j else 0):
                 copy[k] = word()
-            data.append((100 + 10 * i + j, " ".join(copy)))
-        want.add(100 + 10 * i)
-    left = simhash.first_of_groups(documents(spark, data), 5, 25, 2)
-    assert left.columns == documents(spark, data).columns and {r["doc_id"] for r in left.collect()} == want
-    prints = simhash.fingerprints(documents(spark, data), 5, 2)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.cluster(prints, 25).collect()}
-    ints = {r["doc_id"]: int.from_bytes(r["fp"], "little") for r in prints.where("doc_id is not null").collect()}
-    assert {k: v for k, v in got.items() if k is not None} == brute_components(ints, 25)
+            data.append((1000 + 100 * i + j, " ".join(copy)))
+        want.add(1000 + 100 * i)
+    docs = documents(spark, data).withColumnsRenamed({"bucket": "mark", "fp": "meet", "shard": "__id"})
+    left = simhash.first_of_groups(docs, 5)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == want
+
+
+def test_recall_and_visits():
+    """Sets at a similarity of 0.8 share a fingerprint; the trees' work for a point hardly grows with their number."""
+    rng = np.random.default_rng(1)
+    for n in (5, 9, 45, 450):
+        missed = 0
+        for _ in range(300):
+            union = rng.integers(0, 1 << 63, n + n // 9 if n > 5 else 5, dtype=np.uint64)
+            a, b = union[:n], union[n // 9 :] if n > 5 else union[:4]
+            assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+            missed += not (simhash.small_prints(np.sort(a)) == simhash.small_prints(np.sort(b))).any()
+        assert missed <= 6  # of 300
+    visits = []
+    for n in (20_000, 160_000):
+        points = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        tree = simhash.VantageTree(points, simhash.LEAF, 1)
+        who, leaf, home = tree.route(points)
+        assert home.sum() == n and np.bincount(leaf[home]).max() <= simhash.LEAF
+        visits.append(len(who) / n)
+    assert visits[0] < 2 and visits[1] < 1.7 * visits[0]  # for 8 times the points
+
+
+def test_forest_of_a_large_leaf(monkeypatch):
+    """A tree within a task finds what comparing all pairs finds, with visitors that aren't in the index."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = base[rng.integers(0, 300, 600)] ^ np.uint64(1) << rng.integers(0, 63, 600, dtype=np.uint64)
+    index, ask = np.concatenate([base, near[:300]]), near
+
+    def groups(a, b):
+        root = {x: x for x in np.concatenate([index, ask]).tolist()}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+        return {x: find(x) for x in root}
+
+    want = groups(*simhash.spanning(index, ask, 2))
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    assert groups(*simhash.forest(index, ask, 2)) == want
 
 
 def test_near_copies_by_exact_similarity(spark):
