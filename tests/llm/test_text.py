@@ -100,6 +100,60 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k) for k, _ in data if k not in {a for a, _ in want})
 
 
+def test_decontamination_of_short_items_equals_brute_force():
+    """Items of 1 to 40 characters, with edits within and beyond their budget, in texts of one batch."""
+    rng = random.Random(4)
+    block, names = decontam.Block(), [decontam.fold("".join(rng.choice("abcdefgh ") for _ in range(n))) or "a" for n in range(1, 41) for _ in range(3)]
+    for i, name in enumerate(names):
+        block.add(i, name)
+    block.index()
+    texts = [""]
+    for name in names + ["abcdefghij", "abcdefghijabcdefghij"]:
+        out = list(name)
+        for _ in range(rng.randint(0, len(name) // 10 + 1)):
+            out[rng.randrange(len(out))] = rng.choice(["", "h", "ab"])
+        texts.append(decontam.fold("".join([*(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 30))), " ", *out, " ", *(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 30)))])))
+    inexact = 0
+    for text, got in zip(texts, block.match(texts), strict=True):
+        want = {}
+        for i, name in enumerate(names):
+            edits = edit_distance_within(name, text) if len(name) >= decontam.Q else 0 if f" {name} " in f" {text} " else 99
+            if edits <= int(len(name) * decontam.RATE):
+                want[i] = edits
+        assert got == want
+        inexact += sum(map(bool, want.values()))
+    assert inexact > 30
+    one = decontam.Block()
+    one.add(0, "abcdefghij")
+    assert one.index().match(["abcdeXghij".lower(), "zz abcdeghij zz", "abcdXghiX".lower()]) == [{0: 1}, {0: 1}, {}]
+
+
+def test_decontamination_of_monotonous_texts_is_bounded(monkeypatch):
+    """Pieces of few pairs find what one large piece finds; a long text of one letter takes little memory."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    block = decontam.Block()
+    for i in range(6):
+        block.add(i, "".join(rng.choice("ab") for _ in range(60 + 90 * i)))
+    block.add(6, "a" * 400)
+    block.index()
+    texts = ["".join(rng.choice("ab") for _ in range(3000)) + block.windows[3][:-4] + "".join(rng.choice("ab") for _ in range(9000)) + block.windows[5] for _ in range(2)] + ["b" + "a" * 900, ""]
+    want = block.match(texts)
+    assert want[0][3] <= 4 and want[0][5] == 0 and want[2] == {6: 0}
+    monkeypatch.setattr(decontam, "PAIRS", 500)
+    monkeypatch.setattr(decontam, "STRETCH", 2000)
+    assert block.match(texts) == want
+    monkeypatch.undo()
+    alone = decontam.Block()
+    alone.add(0, "a" * 400)
+    alone.index()
+    tracemalloc.start()
+    assert alone.match(["a" * 1_000_000]) == [{0: 0}]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_decontamination_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 40)
     empty = spark.createDataFrame([], "item_id long, text string")
@@ -109,7 +163,11 @@ def test_decontamination_odd_tables(spark, monkeypatch):
     long = prose(rng, "abcdef", 400)
     bench = spark.createDataFrame([(1, long), (1, long), (2, "short text")], "item_id long, text string")
     docs = documents(spark, [(7, "x " + long[600:1400] + " y"), (8, "a short text.")])
-    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == [(7, 1, 0), (8, 2, 0)]
+    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == [(7, 1, 0), (7, 1, 0), (8, 2, 0)]
+    monkeypatch.setattr(decontam, "GROUP", 1)
+    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == [(7, 1, 0), (7, 1, 0), (8, 2, 0)]
+    assert decontam.remove(docs, bench).count() == 0
+    assert decontam.matches(documents(spark, []), bench).count() == 0 and decontam.remove(documents(spark, []), bench).count() == 0
 
 
 @pytest.mark.parametrize(
