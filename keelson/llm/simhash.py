@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, arrow_schema, discard, materialize, partitions, slices
+from .common import Rows, arrow_schema, discard, materialize, partitions, slices, tidy
 from .graph import components
 
 SEED = 42
@@ -120,7 +120,7 @@ def marks(df: DataFrame, width: int, count: int = PRINTS, id_col: str = "doc_id"
                     yield out.take()
         yield from out.rest()
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,7 +138,7 @@ def fingerprints(df: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
                     yield out.take()
         yield from out.rest()
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
 
 
 class VantageTree:
@@ -308,7 +308,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         seen = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *map(pa.array, total[:, seen])], schema=arrow_schema(sizes))
 
-    summed = fps.mapInArrow(count, sizes).groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
+    summed = fps.mapInArrow(tidy(count), sizes).groupBy("leaf").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
     blocks, lanes = np.ones(trees.leaves, np.int64), np.zeros(trees.leaves, np.int64)
     for r in summed.where((F.col("homes") > HOT) | (F.col("visits") > HOT)).collect():  # one row for each leaf, and leaves are as bounded as the sample
         blocks[r["leaf"]] = max(1, -(-r["homes"] // HOT))
@@ -352,8 +352,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         if held:
             yield from close()
 
-    dealt = fps.mapInArrow(deal, routed)
-    return dealt.repartition(partitions(spark), "leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(search, found)
+    dealt = fps.mapInArrow(tidy(deal), routed)
+    return dealt.repartition(partitions(spark), "leaf", "share").sortWithinPartitions("leaf", "share").mapInArrow(tidy(search), found)
 
 
 def similar(sets: list[np.ndarray], sides: np.ndarray, likeness: float) -> list[tuple[int, int]]:
@@ -472,9 +472,9 @@ def alike(df: DataFrame, width: int, likeness: float, radius: int = 1, count: in
         close()
         yield from out.rest()
 
-    packed = texts.select("mark", "text", "plane", "meet", "n").mapInArrow(pack, sent)
+    packed = texts.select("mark", "text", "plane", "meet", "n").mapInArrow(tidy(pack), sent)
     dealt = packed.repartition(parts, "plane", "meet", "share").sortWithinPartitions("plane", "meet", "share")
-    groups = components(materialize(dealt.mapInArrow(compare, linked), "verified"))
+    groups = components(materialize(dealt.mapInArrow(tidy(compare), linked), "verified"))
     groups = groups.union(groups.select("root", "root").distinct())  # a root is a node as well
     grouped = materialize(nodes.select("mark", "least").join(groups, F.col("mark") == F.col("node")).select("mark", "least", "root"), "grouped")
     ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))

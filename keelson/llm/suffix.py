@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, free_shuffles, materialize, partitions, slices
+from .common import Rows, free_shuffles, materialize, partitions, slices, tidy
 
 LENGTH = 100
 GRAM = 32
 HOT = 20_000
-RANGES = 8  # of suffixes for each task
+RANGES = 16  # of suffixes for each task
 SAMPLE_TEXTS = 400  # texts (in expectation) whose anchors give splitters
 LOWEST = -(1 << 63)
 SPLIT = 1 << 20  # bytes of a text that are hashed at a time; places fit the low bits of a key
@@ -190,8 +190,8 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from close()
 
-    dealt = docs.select("md5", "text").mapInArrow(emit, packed).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(pick, kept)
+    dealt = docs.select("md5", "text").mapInArrow(tidy(emit), packed).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(pick), kept)
 
 
 def multikey_quicksort(keys: np.ndarray) -> np.ndarray:
@@ -292,7 +292,7 @@ def splitters(docs: DataFrame, parts: int, length: int) -> list[bytes]:
                 out |= {data[a : a + GRAM] for a in at[hashed % np.uint64(8) == 0].tolist()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.binary())], names=["gram"])
 
-    found = sorted({bytes(r["gram"]) for r in chosen.mapInArrow(grams, "gram binary").limit(1 << 18).collect()})
+    found = sorted({bytes(r["gram"]) for r in chosen.mapInArrow(tidy(grams), "gram binary").limit(1 << 18).collect()})
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
@@ -398,8 +398,8 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
             yield from close()
 
     body = docs.join(wanted, ["k", "md5"]).select("k", "md5", "text", "places").dropDuplicates(["k", "md5"]).sortWithinPartitions("k", "md5")
-    dealt = body.mapInArrow(emit, suffixes)
-    found = dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "k", "md5", "at", "hi").mapInArrow(sort, done)
+    dealt = body.mapInArrow(tidy(emit), suffixes)
+    found = dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "k", "md5", "at", "hi").mapInArrow(tidy(sort), done)
     found = materialize(found, "spans")
     free_shuffles(spark)
     gathered = found.groupBy("k", "md5").agg(F.collect_list("spans").alias("spans")).withColumn("copy", F.lit(False))
@@ -446,7 +446,7 @@ def removals(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 yield out.take()
 
     docs = keyed(df, id_col, text_col)
-    return docs.join(spans(df, length, id_col, text_col), ["k", "md5"], "left").select("k", "text", "copy", "spans").mapInArrow(run, schema)
+    return docs.join(spans(df, length, id_col, text_col), ["k", "md5"], "left").select("k", "text", "copy", "spans").mapInArrow(tidy(run), schema)
 
 
 def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -492,4 +492,4 @@ def removed_from(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(keep, pa.int64()))
 
     joined = tagged.join(found, ["__k", "__md5"], "left").select(*[tagged[c] for c in names], "__copy", "__spans")
-    return joined.mapInArrow(run, df.schema)
+    return joined.mapInArrow(tidy(run), df.schema)
