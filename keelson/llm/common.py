@@ -98,10 +98,13 @@ def bucket_of(key: Column, bounds: Sequence[int]) -> Column:
 ARROW = {
     "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(),
     "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+    "date": pa.date32(), "timestamp": pa.timestamp("us", "UTC"), "timestamp_ntz": pa.timestamp("us"),
 }
 
 
 def arrow_type(name: str) -> pa.DataType:
+    if name.startswith("decimal("):
+        return pa.decimal128(*map(int, name[8:-1].split(",")))
     return pa.list_(arrow_type(name[6:-1])) if name.startswith("array<") else ARROW[name]
 
 

@@ -236,3 +236,78 @@ def test_chat(spark):
     assert first[2][4] == '{"content":{"a":[2.5],"z":1},"conversation":1,"linked":true,"role":"tool","tool_call_id":"y","turn":1}'
     assert [x[2:4] for x in sorted(got[2])] == [(0, 0), (1, 1), (0, 0), (0, 0)]
     assert chat.format(df.limit(0)).count() == 0
+
+
+def test_chat_orders_chains_and_circles(spark):
+    """Random chains of calls against a plain version of Kahn's rounds; a circle stays at its turns."""
+    rng = random.Random(5)
+    data, follows = [], {}
+    for i in range(30):  # turn i asks, turn 100 + i answers, in a mixed order
+        after = [f"t{j}" for j in rng.sample(range(30), rng.randint(0, 2)) if j < i or rng.random() < 0.0]
+        turn = rng.randint(0, 40)
+        data.append((1, turn, "assistant", json.dumps({"tool_calls": [{"id": f"t{i}", "name": "f", "arguments": {}, "after": after}], "content": i})))
+        data.append((1, rng.randint(0, 40), "tool", json.dumps({"tool_call_id": f"t{i}", "content": i})))
+        follows["a", i] = {(kind, int(a[1:])) for a in after for kind in "ar"}
+        follows["r", i] = {("a", i)}
+    turns = {("ar"[k % 2], k // 2): row[1] for k, row in enumerate(data)}
+    place = {}
+    while len(place) < len(turns):
+        for node in [n for n in turns if n not in place and follows[n] <= place.keys()]:
+            last = max((place[x] for x in follows[node]), default=None)
+            place[node] = (turns[node], 0) if last is None or turns[node] > last[0] else (last[0], last[1] + 1)
+    data += [(2, 5, "assistant", json.dumps({"tool_calls": [{"id": "p", "name": "f", "after": ["q"]}]})), (2, 1, "assistant", json.dumps({"tool_calls": [{"id": "q", "name": "f", "after": ["p"]}]}))]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format(df, {"f": {}}).collect(), key=lambda r: (r["conv_id"], r["position"]))
+    lines = [json.loads(r["line"]) for r in got if r["conv_id"] == 1]
+    order = [("a" if x["role"] == "assistant" else "r", x["content"]) for x in lines]
+    assert [place[n] for n in order] == sorted(place.values()) and all(x.get("linked", True) for x in lines)
+    assert all(order.index(x) < order.index(n) for n in order for x in follows[n])
+    assert [(r["turn"], r["n_problems"]) for r in got if r["conv_id"] == 2] == [(1, 1), (5, 1)]
+
+
+def test_chat_survives_odd_json(spark):
+    deep = "[" * 3000 + "]" * 3000
+    data = [
+        (0, "assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": %s}]}' % deep),
+        (1, "assistant", json.dumps({"tool_calls": [{"id": "b", "name": "f", "arguments": deep}]})),
+        (2, "assistant", json.dumps({"tool_calls": [{"id": ["c"], "name": ["f"]}, {"id": "d", "name": "f", "arguments": {"n": 1}}]}).replace("1}", "1e999}")),
+        (3, "tool", '{"tool_call_id": "\\ud800", "content": "\\udfff"}'),
+        (4, "assistant", '{"tool_calls": [{"id": "\\ud800", "name": "\\ud800"}]}'),
+        (5, "assistant", '{"tool_calls": 5}'),
+        (6, "assistant", '{"tool_calls": [7, null]}'),
+    ]
+    df = spark.createDataFrame([(str(7), *x, 1) for x in data], "conv_id string, turn int, role string, text string, mid int").selectExpr("cast(conv_id as decimal(10,2)) conv_id", "turn", "role", "text", "mid", "turn after")
+    got = {r["turn"]: r for r in chat.format(df, {"f": {"properties": {"n": {"type": "integer"}}}}).collect()}
+    assert [got[i]["n_calls"] for i in range(7)] == [0, 1, 2, 0, 1, 0, 0]
+    assert [got[i]["n_problems"] for i in range(7)] == [0, 0, 2, 0, 1, 0, 0]
+    assert json.loads(got[2]["line"])["tool_calls"][1]["arguments"] == {"n": None} and json.loads(got[3]["line"])["linked"]
+    assert got[0]["line"].startswith('{"content":"{') and json.loads(got[0]["line"])["conversation"] == "7.00"
+
+
+@pytest.mark.parametrize(
+    "schema,good,bad",
+    [
+        ({"enum": [1, "a", None]}, [1, 1.0, "a", None], [True, "1", 2]),
+        ({"const": {"a": [1]}}, [{"a": [1.0]}], [{"a": [True]}, {"a": []}]),
+        ({"type": "integer"}, [3, 3.0], [3.5, float("inf"), True, "3"]),
+        ({"type": ["string", "null"], "pattern": "^a+$"}, ["aa", None], ["b", 1]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ["x", 6], [4]),
+        ({"oneOf": [{"minimum": 1}, {"maximum": 3}]}, [0, 4], [2]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}], "not": {"const": 2}}, [1, 3], [0, 2, 4]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 2, "multipleOf": 0.1}, [1.1, 1.9], [1, 2, 1.55]),
+        ({"uniqueItems": True, "items": {"$ref": "#/$defs/n"}, "$defs": {"n": {"type": "number"}}, "maxItems": 3}, [[1, 2]], [[1, 1.0], ["a"], [1, 2, 3, 4]]),
+        ({"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": {"type": "number"}, "maxProperties": 2}, [{"x1": "a", "y": 2}], [{"x": 1}, {"y": "a"}, {"a": 1, "b": 2, "c": 3}]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"minProperties": 1}}, [{"a": 1, "b": 2}, {"c": 1}], [{"a": 1}, {}]),
+        ({"propertyNames": {"maxLength": 2}, "properties": {"l": {"contains": {"const": 1}, "prefixItems": [{"type": "string"}]}}}, [{"l": ["a", 1]}], [{"l": [1]}, {"l": ["a"]}, {"long": 1}]),
+        ({"$ref": "#"}, [], [1]),
+        (True, [1], []),
+    ],
+)
+def test_schemas(schema, good, bad):
+    chat.checked(schema, "s")
+    assert [x for x in good if chat.problems(x, schema)] == [] and [x for x in bad if not chat.problems(x, schema)] == []
+
+
+def test_unknown_keywords_are_refused(spark):
+    with pytest.raises(ValueError):
+        chat.format(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), {"f": {"properties": {"a": {"minimun": 3}}}})
