@@ -205,9 +205,9 @@ class TextEncoder:
     def all(self, texts: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """Ids of several texts; their chunks that are not known yet are encoded in one call."""
         split = [text.split(" ") for text in texts]
-        found = set(chain.from_iterable(split))
-        later, old = self.later, self.later.old
-        new = [c for c in found if c not in later and c not in old and c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
+        later = self.later
+        unknown = set(chain.from_iterable(split)).difference(later).difference(later.old)
+        new = [c for c in unknown if c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
         for chunk, packed in zip(new, encode_all([" " + c for c in new]), strict=True):
             later.keep(chunk, packed)
         return list(map(self.join, texts, split))

@@ -16,10 +16,14 @@ come first; repeated ids stay apart in a fixed order; an empty table gives an em
 
 from __future__ import annotations
 
+import json
+import string
 import struct as binary
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .common import Rows, bucket_of, id_bounds, materialize, partitions, slices
 MAGIC = b"KDAC0001"
 BLOCK = 512  # bits between two entries of a rank directory
 SEGMENT_IDS = 1 << 20
+LAST_LETTER = "\u024f"  # of Latin script, whose letters are such to every library
 
 
 class Codes:
@@ -138,21 +143,53 @@ class Library:
         for token, i in vocabulary.items():
             self.lengths[i] = len(token.encode()) if i in added else len(token)
         self.texts = TextEncoder(lambda text: self.ids(text).tobytes(), limit=600_000)
+        made = json.loads(self.tokenizer.to_str())
+        kind = made.get("pre_tokenizer") or {}
+        #: Whether a space and the letters after it are always one pre-token, and the signs after those another.
+        self.words = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not made.get("normalizer")
+        self.words = self.words and not any(t.content.strip().isalpha() for t in added.values())
+        self.signs: dict[str, bytes] = {"": b""}
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255, as the library has it
+        self.letters = dict(zip(printed, printed, strict=True)) | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*printed}))}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode_all(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that each start with a sure break are encoded as one text, whose ids are then parted
-        where the bytes of the chunks end; no token reaches over a break."""
+        """Chunks that each start with a sure break. A word of letters is a pre-token and goes to the
+        library's model, and so do the signs after it; other chunks are encoded together."""
+        if not self.words:
+            return self.encode_joined(chunks)
+        out: list[bytes] = [b""] * len(chunks)
+        others: list[int] = []
+        tokenize, signs = self.tokenizer.model.tokenize, self.signs
+        for i, chunk in enumerate(chunks):
+            word = chunk.rstrip(string.punctuation)
+            letters = word[1:]
+            if word[:1] != " " or len(chunk) - len(word) > 8 or not letters.isalpha() or not letters.isascii() and max(letters) > LAST_LETTER:
+                others.append(i)
+                continue
+            packed = array("I", [t.id for t in tokenize("\u0120" + letters if letters.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if (after := signs.get(chunk[len(word) :])) is None:
+                after = self.ids(chunk[len(word) :]).tobytes()
+                if len(signs) < 1 << 16:
+                    signs[chunk[len(word) :]] = after
+            out[i] = packed + after
+        for i, packed in zip(others, self.encode_joined([chunks[i] for i in others]), strict=True):
+            out[i] = packed
+        return out
+
+    def encode_joined(self, chunks: list[str]) -> list[bytes]:
+        """Chunks are encoded as one text, whose ids are then parted where the bytes of the chunks end; no
+        token reaches over a break."""
         out: list[bytes] = []
         for lo in range(0, len(chunks), 4096):
             part = chunks[lo : lo + 4096]
             ids = self.ids("".join(part))
-            ends = np.cumsum([len(c.encode()) for c in part])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()]
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
+            cuts = [0, *(4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()]
             packed = ids.tobytes()
-            out += [packed[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            out += [packed[a:b] for a, b in pairwise(cuts)]
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
