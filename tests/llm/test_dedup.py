@@ -10,28 +10,37 @@ from keelson.llm import digest, shards, simhash
 from .fixtures import documents, rows, texts
 
 
-def test_canonical_digests(spark):
-    assert digest.canonical("  Ａb C\n") == b"ab c" and digest.canonical(None) == b""
-    data = [(k, t) for k, t in rows()] + [(1000, "Naïve FI viii"), (1001, "naïve\nﬁ Ⅷ")]
-    got = {r["doc_id"]: (r["fingerprint"], r["group_id"]) for r in digest.groups(documents(spark, data), share=2).collect()}
+def test_canonical_digests(spark, monkeypatch):
+    assert digest.canonical("  Ａb C\n") == b"ab c" and digest.canonical(None) == b""
+    data = [(k, t) for k, t in rows()] + [(1000, "Naïve FI viii"), (1001, "naïve\nﬁ Ⅷ"), (None, "naïve ﬁ Ⅷ"), (None, "alone"), (1001, "another"), (1002, "another")]
     by_bytes: dict = {}
     for k, t in data:
-        by_bytes.setdefault(digest.canonical(t), []).append(k)
-    assert {k: v[1] for k, v in got.items()} == {k: min(v) for v in by_bytes.values() for k in v}
-
-
-@pytest.mark.parametrize("data", [rows(), [(5, "abc")], [], [(None, "q"), *rows()]])
+        if k is not None:
+            by_bytes.setdefault(digest.canonical(t), []).append(k)
+    want = sorted(((k, min(by_bytes.get(digest.canonical(t), [None]), default=None)) for k, t in data), key=str)
+    for collide in (False, True):
+        if collide:  # digests of few values: the bytes part what they join
+            monkeypatch.setattr(digest, "digest", lambda data: str(len(data) % 3))
+        got = sorted(((r["doc_id"], r["group_id"]) for r in digest.groups(documents(spark, data)).collect()), key=str)
+        assert got == want
+    assert digest.groups(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("data", [rows(), [(5, "abc")], [], [(None, "q"), (None, "a"), (4, "a B"), (4, "other"), *rows()]])
 def test_successors(spark, data):
-    got = {r["doc_id"]: tuple(r)[1:] for r in digest.with_successor(documents(spark, data)).collect()}
-    ordered = sorted(((k, t or "") for k, t in data), key=lambda r: (r[0] is not None, r[0] or 0))
-    want = {}
+    got = sorted((tuple(r) for r in digest.with_successor(documents(spark, data)).collect()), key=str)
+    ordered = sorted(((k, t or "") for k, t in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want, least = [], {}
+    for k, t in ordered:
+        if k is not None:
+            least.setdefault(digest.canonical(t), k)
     for i, (k, t) in enumerate(ordered):
         following = ordered[(i + 1) % len(ordered)][1]
         half = len(t) // 2
         new = t[: len(t) - half] + following[:half]
         a, b, c = (digest.digest(digest.canonical(x)) for x in (t, new, following))
-        want[k] = (len(t), hashlib.sha256(new.encode()).hexdigest(), a, b, float(a == b), float(a == c))
-    assert got == want
+        want.append((k, len(t), hashlib.sha256(new.encode()).hexdigest(), a, b, float(a == b), float(a == c), least.get(digest.canonical(t))))
+    assert got == sorted(want, key=str)
 
 
 def brute_fingerprint(text, width):
