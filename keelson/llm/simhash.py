@@ -489,9 +489,10 @@ def first_of_groups(df: DataFrame, width: int, likeness: float = 0.8, id_col: st
     repeat an id stay or go together, and so do rows without an id (they stay if their group has none)."""
     groups = alike(df, width, likeness, id_col=id_col, text_col=text_col)
     gone = groups.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone = materialize(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    nameless = gone.where(F.col("__gone").isNull()).limit(1).count()
-    kept = df.join(gone, df[id_col] == F.col("__gone"), "left_anti")
+    name = "_" * (1 + max(map(len, df.columns)))  # longer than any column's name
+    gone = materialize(gone.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    nameless = gone.where(F.col(name).isNull()).limit(1).count()
+    kept = df.join(gone, df[id_col] == F.col(name), "left_anti")
     return kept.where(df[id_col].isNotNull()) if nameless else kept
 
 

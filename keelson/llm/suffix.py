@@ -5,8 +5,10 @@ Sorting every suffix of a corpus would move many times its size, so suffixes are
 the place in each window whose 32-gram hash is least (leftmost of equals). Equal windows have their
 anchor at the same place, so each repeated window is found at its anchor, and only there.
 
-1. Each distinct text (by MD5) gives its anchors where it is read; their hashes are dealt to buckets
-   in packed arrays, and anchors whose hash occurs once are dropped.
+1. Each distinct text (by SHA-256) gives its anchors where it is read; their hashes are dealt to buckets
+   in packed arrays, and anchors whose hash occurs once are dropped. A text's places go by 8 bytes of
+   its digest; a text that shares them with another gets the other's places too, which adds suffixes
+   and changes no result.
 2. The first document of each text with repeated anchors emits, for each, the bytes that its windows
    span. Sampled splitters range-partition these suffixes by their leading bytes. A splitter never
    parts equal leading 32-grams, so all suffixes that could share a window stand in one range.
@@ -22,7 +24,7 @@ the later ones itself.
 
 Edge cases: null texts are empty; texts shorter than a window lose nothing; null ids count as the
 smallest; rows that repeat id and text are one document, each with its result; rows that repeat an id
-with another text are ordered by the MD5 of their text; other columns are ignored.
+with another text are ordered by the SHA-256 of their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rows, free_shuffles, materialize, partitions, slices, tidy
@@ -92,27 +94,33 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k (id, null lowest), md5, text."""
+    """k (id, null lowest), sha (SHA-256), name (its first 8 bytes), text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("k"), F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("k"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("sha"), text.alias("text"))
+    return docs.select("k", "sha", name_of(F.col("sha")).alias("name"), "text")
+
+
+def name_of(sha: Column) -> Column:
+    """The first 8 bytes of a digest as a signed number."""
+    return F.conv(F.hex(F.substring(sha, 1, 8)), 16, -10).cast("bigint")
 
 
 PLACE = np.dtype([("at", "<u4"), ("lo", "u1"), ("hi", "u1"), ("hot", "u1")])  # windows start lo to hi bytes before
 
 
 def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """text_id (8 bytes of the MD5), places (packed PLACE) of anchors whose hash occurs elsewhere too."""
+    """name, places (packed PLACE) of anchors whose hash occurs elsewhere too."""
     parts = partitions(docs.sparkSession)
     packed = "bucket int, n int, texts binary, counts binary, hashes binary, places binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # texts of this task (8 bytes each)
+        seen: set[bytes] = set()  # texts of this task
         held: list[tuple] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = Rows(packed)
-            texts = np.repeat(np.array([x[0] for x in held], dtype="S8").view("<u8"), [len(x[1]) for x in held])
+            texts = np.repeat(np.array([x[0] for x in held], dtype="<i8"), [len(x[1]) for x in held])
             hashed = np.concatenate([x[1] for x in held])
             place = np.concatenate([x[2] for x in held])
             bucket = (hashed % np.uint64(parts)).astype(np.int64)
@@ -131,11 +139,10 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
 
         for big in batches:
             for batch in slices(big):
-                for md5, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                    name = md5[:7] + b"\1"  # never ends in a zero byte, which numpy would drop
-                    if len(text) * 4 < length or name in seen:
+                for sha, name, text in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                    if len(text) * 4 < length or sha in seen:
                         continue
-                    seen.add(name)
+                    seen.add(sha)
                     data = text.encode()
                     at, hashed, first, last = anchors(data, length)
                     if not len(at):
@@ -150,7 +157,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from flush()
 
-    kept = "text_id binary, places binary"
+    kept = "name bigint, places binary"
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -173,7 +180,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
             if len(texts):
                 starts = np.concatenate([[0], np.flatnonzero(texts[1:] != texts[:-1]) + 1])
                 for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(texts)], strict=True):
-                    out.add(texts[lo : lo + 1].tobytes(), place[lo:hi].tobytes())
+                    out.add(int(texts[lo]), place[lo:hi].tobytes(), size=(hi - lo) * PLACE.itemsize)
                     if out.full():
                         yield out.take()
             yield from out.rest()
@@ -186,11 +193,11 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
                     bucket, held = b, []
                 wide = np.zeros((n, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(hashes, np.uint8).reshape(n, 6)
-                held.append((np.repeat(np.frombuffer(texts, "<u8"), np.frombuffer(counts, "<u4")), wide.view("<u8").ravel(), np.frombuffer(places, PLACE)))
+                held.append((np.repeat(np.frombuffer(texts, "<i8"), np.frombuffer(counts, "<u4")), wide.view("<u8").ravel(), np.frombuffer(places, PLACE)))
         if held:
             yield from close()
 
-    dealt = docs.select("md5", "text").mapInArrow(tidy(emit), packed).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
+    dealt = docs.select("sha", "name", "text").mapInArrow(tidy(emit), packed).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(tidy(pick), kept)
 
 
@@ -297,7 +304,7 @@ def splitters(docs: DataFrame, parts: int, length: int) -> list[bytes]:
 
 
 def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, md5, copy, spans: what goes of each document; spans is packed (start, end) as uint32.
+    """k, name, copy, spans: what goes of each document; spans is packed (start, end) as uint32.
 
     copy marks a later copy of a text: all of it goes if a window fits.
     """
@@ -307,24 +314,23 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
     parts = partitions(spark)
     ranges = RANGES * parts  # several small ranges a task, one after another, keep what a task holds small
     docs = keyed(df, id_col, text_col)
-    keys = materialize(docs.select("k", "md5").distinct(), "texts")
-    first = keys.groupBy("md5").agg(F.min("k").alias("first"))
+    keys = materialize(docs.select("k", "sha", "name").distinct(), "texts")
+    first = materialize(keys.groupBy("sha", "name").agg(F.min("k").alias("first")), "first")
     places = materialize(repeated_anchors(docs, length), "anchors")
     free_shuffles(spark)
     cuts = splitters(docs, ranges, length)
     most = length - GRAM
-    named = first.select(F.col("first").alias("k"), "md5", F.concat(F.substring("md5", 1, 7), F.lit(b"\1")).alias("text_id"))
-    listed = places.groupBy("text_id").agg(F.collect_list("places").alias("places"))
-    wanted = named.join(listed, "text_id").select("k", "md5", "places")
-    suffixes = "bucket int, k bigint, md5 binary, at bigint, lo int, hi int, body binary"
-    done = "k bigint, md5 binary, spans binary"
+    listed = places.groupBy("name").agg(F.collect_list("places").alias("places"))
+    wanted = first.select(F.col("first").alias("k"), "sha", "name").join(listed, "name").select("k", "sha", "places")
+    suffixes = "bucket int, k bigint, name bigint, at bigint, lo int, hi int, body binary"
+    done = "k bigint, name bigint, spans binary"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Rows(suffixes)
         known: set[tuple[bytes, int]] = set()  # windows at shared anchors that this task has passed on
         for big in batches:
             for batch in slices(big):
-                for k, md5, text, packed in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
+                for k, name, text, packed in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
                     data = text.encode()
                     place = np.unique(np.concatenate([np.frombuffer(p, PLACE) for p in packed]))
                     for at, lo, hi, hot in place.tolist():
@@ -337,11 +343,11 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
                             token = body[b : b + GRAM]
                             bucket = xxhash.xxh64_intdigest(body) % ranges if hot else bisect_right(cuts, token)
                             if hot and (body, b) in known:  # documents come in order, so this one is later
-                                out.add(k % ranges, k, md5, at, a, b, None)
+                                out.add(k % ranges, k, name, at, a, b, None)
                                 continue
                             if hot and len(known) < 1 << 16:
                                 known.add((body, b))
-                            out.add(bucket, k, md5, at, a, b, body, size=len(body))
+                            out.add(bucket, k, name, at, a, b, body, size=len(body))
                         if out.full():
                             yield out.take()
         yield from out.rest()
@@ -352,8 +358,8 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
 
         def close() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            k, at, lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("k", "at", "lo", "hi"))
-            md5, bodies = rows["md5"].to_pylist(), rows["body"].to_pylist()
+            k, name, at, lo, hi = (rows[c].to_numpy().astype(np.int64) for c in ("k", "name", "at", "lo", "hi"))
+            bodies = rows["body"].to_pylist()
             sent = np.array([x is not None for x in bodies], bool)
             left, right = np.zeros((len(k), max(most, 1)), np.uint8), np.zeros((len(k), length), np.uint8)
             for i, (body, b) in enumerate(zip(bodies, hi.tolist(), strict=True)):
@@ -369,8 +375,8 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
             out, last = Rows(done), None
             pairs: list[int] = []
             for i, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True):
-                if last is not None and (k[i], md5[i]) != (k[last], md5[last]):
-                    out.add(int(k[last]), md5[last], np.array(pairs, "<u4").tobytes())
+                if last is not None and (k[i] != k[last] or name[i] != name[last]):
+                    out.add(int(k[last]), int(name[last]), np.array(pairs, "<u4").tobytes())
                     pairs = []
                     if out.full():
                         yield out.take()
@@ -380,7 +386,7 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
                 else:
                     pairs += [s, e]
             if last is not None:
-                out.add(int(k[last]), md5[last], np.array(pairs, "<u4").tobytes())
+                out.add(int(k[last]), int(name[last]), np.array(pairs, "<u4").tobytes())
             yield from out.rest()
 
         for big in batches:
@@ -397,13 +403,13 @@ def spans(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
         if held:
             yield from close()
 
-    body = docs.join(wanted, ["k", "md5"]).select("k", "md5", "text", "places").dropDuplicates(["k", "md5"]).sortWithinPartitions("k", "md5")
+    body = docs.join(wanted, ["k", "sha"]).dropDuplicates(["k", "sha"]).select("k", "name", "text", "places").sortWithinPartitions("k", "name")
     dealt = body.mapInArrow(tidy(emit), suffixes)
-    found = dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "k", "md5", "at", "hi").mapInArrow(tidy(sort), done)
+    found = dealt.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "k", "name", "at", "hi").mapInArrow(tidy(sort), done)
     found = materialize(found, "spans")
     free_shuffles(spark)
-    gathered = found.groupBy("k", "md5").agg(F.collect_list("spans").alias("spans")).withColumn("copy", F.lit(False))
-    copies = keys.join(first, "md5").where(F.col("k") > F.col("first")).select("k", "md5", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("copy"))
+    gathered = found.groupBy("k", "name").agg(F.collect_list("spans").alias("spans")).withColumn("copy", F.lit(False))
+    copies = keys.join(first.select("sha", "first"), "sha").where(F.col("k") > F.col("first")).select("k", "name", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("copy"))
     return gathered.unionByName(copies)
 
 
@@ -446,7 +452,7 @@ def removals(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 yield out.take()
 
     docs = keyed(df, id_col, text_col)
-    return docs.join(spans(df, length, id_col, text_col), ["k", "md5"], "left").select("k", "text", "copy", "spans").mapInArrow(tidy(run), schema)
+    return docs.join(spans(df, length, id_col, text_col), ["k", "name"], "left").select("k", "text", "copy", "spans").mapInArrow(tidy(run), schema)
 
 
 def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -469,9 +475,10 @@ def removed_from(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     """
     names = df.columns
     text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    tagged = df.withColumns({"__k": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)), "__md5": F.unhex(F.md5(text.cast("binary")))})
-    found = spans(df, length, id_col, text_col).select(F.col("k").alias("__k"), F.col("md5").alias("__md5"), F.col("copy").alias("__copy"), F.col("spans").alias("__spans"))
+    mark = "_" * (1 + max(map(len, names)))  # longer than any column's name
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    tagged = df.withColumns({f"{mark}k": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)), f"{mark}name": name_of(F.unhex(F.sha2(text, 256)))})
+    found = spans(df, length, id_col, text_col).select(*[F.col(c).alias(mark + c) for c in ("k", "name", "copy", "spans")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -491,5 +498,5 @@ def removed_from(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
                     columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch[chars_at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names).take(pa.array(keep, pa.int64()))
 
-    joined = tagged.join(found, ["__k", "__md5"], "left").select(*[tagged[c] for c in names], "__copy", "__spans")
+    joined = tagged.join(found, [f"{mark}k", f"{mark}name"], "left").select(*[tagged[c] for c in names], f"{mark}copy", f"{mark}spans")
     return joined.mapInArrow(tidy(run), df.schema)
