@@ -1,10 +1,13 @@
 """Operator 8: layout-aware rendering of web pages.
 
 A tree builder closes what HTML lets authors leave open (paragraphs before blocks, list items, table
-parts, inline elements at the end of their block), visibility rules drop what a browser doesn't show,
+parts, inline elements at the end of their block), visibility rules drop what a browser doesn't show
+(elements without a rendering, `hidden`, inline styles, and rules of the page's own style sheets whose
+selectors are a tag, a class, an id or such together; `visibility` is inherited and may be taken back),
 and a walk over the tree emits all visible text: blocks on lines of their own with a blank line
 around paragraphs, headings, lists and tables; list items with a bullet or number, indented by depth;
-table cells padded to the width of their column; preformatted text as it is.
+table cells padded to the width of their column, over several columns or rows if they span them;
+preformatted text as it is. The builder knows where each open tag stands, so its work is linear.
 
 Edge cases: null or empty pages give an empty text; broken markup never fails; nesting of any depth
 is walked with a stack of its own; null ids pass through; repeated rows give repeated results.
@@ -13,7 +16,8 @@ is walked with a stack of its own; null ids pass through; repeated rows give rep
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,7 +50,10 @@ CLOSES = {  # a start tag ends these open elements, up to the elements that hold
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+STYLE = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)", re.I)
+MOST_SPAN = 100
 SPACES = " \t\n\r\f"
 GAP = "  "  # between columns of a table
 
@@ -65,19 +72,35 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # where each tag stands among the open ones
+        self.blocks = [0]  # where blocks stand
+        self.styles: list[str] = []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
 
     def close_to(self, at: int) -> None:
-        del self.open[at:]
+        while len(self.open) > at:
+            tag = self.open.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of tags, 0 for none."""
+        return max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
 
     def find(self, tags: set[str], stop: set[str]) -> int | None:
         """The outermost open element of tags that is not beyond one of stop."""
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                found = i
-            elif tag in stop:
-                break
+        end, found = self.last(stop), None
+        for tag in tags:
+            places = self.at.get(tag)
+            if places and places[-1] > end:
+                place = places[bisect_right(places, end)]
+                found = place if found is None else min(found, place)
         return found
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -92,7 +115,7 @@ class Builder(HTMLParser):
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self.push(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,19 +123,19 @@ class Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             return self.handle_starttag("br", [])
-        stop = {"table"} if tag in BLOCKS and tag != "table" else {"td", "th", "table"} if tag not in BLOCKS else set()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                return self.close_to(i)
-            if self.open[i].tag in stop:
-                return None
-            if tag not in BLOCKS and self.open[i].tag in BLOCKS:
-                return None  # an inline end tag doesn't reach out of its block
-        if tag == "p":  # an end tag alone stands for an empty paragraph
+        stop = self.last(({"table"} if tag != "table" else ()) if tag in BLOCKS else ("td", "th", "table"))
+        if tag not in BLOCKS:
+            stop = max(stop, self.blocks[-1])  # an inline end tag doesn't reach out of its block
+        at = self.last((tag,))
+        if at > stop:
+            self.close_to(at)
+        elif tag == "p":  # an end tag alone stands for an empty paragraph
             self.open[-1].children.append(Node("p", {}))
         return None
 
     def handle_data(self, data: str) -> None:
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
         self.open[-1].children.append(data)
 
 
@@ -171,34 +194,78 @@ class Writer:
         return "".join(self.parts)
 
 
-def unseen(node: Node) -> bool:
+class Sheet:
+    """What the rules of a page's style sheets say of display and visibility; rules within others, as for
+    a medium, and selectors of several elements are left out."""
+
+    def __init__(self, styles: list[str]):
+        self.rules: dict[str, list[tuple]] = {}  # by the last part of the selector: tag, .class or #id
+        text = re.sub(r"/\*.*?\*/", " ", " ".join(styles), flags=re.S)
+        text = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|@[^{};]*;", " ", text)
+        for i, (selectors, body) in enumerate(RULE.findall(text)):
+            said = {k.lower(): v.lower() for k, v in STYLE.findall("{" + body)}
+            for selector in selectors.split(",") if said else ():
+                if (m := SELECTOR.fullmatch(selector.strip())) and m[0]:
+                    marks = re.findall(r"[.#][\w-]+", m[2])
+                    tag = (m[1] or "").lower()
+                    weight = sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), bool(tag), i
+                    self.rules.setdefault(marks[-1] if marks else tag, []).append((weight, tag, set(marks), said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, as far as anything is said."""
+        a = node.attrs
+        out: dict[str, str] = {}
+        if self.rules:
+            marks = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+            fitting = [r for key in (node.tag, *marks) for r in self.rules.get(key, ()) if (not r[1] or r[1] == node.tag) and r[2] <= marks]
+            for _, _, _, said in sorted(fitting, key=lambda r: r[0]):
+                out |= said
+        if a.get("style"):
+            out |= {k.lower(): v.lower() for k, v in STYLE.findall(a["style"])}
+        return out
+
+
+def unseen(node: Node, said: dict[str, str]) -> bool:
+    """Whether a browser shows nothing of an element and what is in it."""
     a = node.attrs
     return (
-        node.tag in UNSEEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden")
-        or bool(a.get("style") and HIDDEN.search(a["style"])) or (node.tag == "dialog" and "open" not in a)
+        node.tag in UNSEEN or "hidden" in a and "display" not in said or (node.tag == "input" and a.get("type", "").lower() == "hidden")
+        or said.get("display") == "none" or (node.tag == "dialog" and "open" not in a)
     )
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of cells (text, columns spanned), padded by column; a cell may have several lines."""
+def aligned(rows: list[list[tuple[str, int, int]]]) -> str:
+    """Rows of cells (text, columns and rows spanned), padded by column; a cell may have several lines."""
     widths: list[int] = []
+    placed: list[list[tuple[int, str, int]]] = []
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
     for row in rows:
-        at = 0
-        for text, span in row:
+        at, cells, held = 0, [], {}
+        for text, span, deep in row:
+            while taken.get(at):
+                at += 1
             widths += [0] * (at + span - len(widths))
             if span == 1:
                 widths[at] = max(widths[at], *map(len, text.split("\n")))
+            cells.append((at, text, span))
+            if deep > 1:
+                held |= {c: deep for c in range(at, at + span)}
             at += span
+        placed.append(cells)
+        taken = {c: n - 1 for c, n in (taken | held).items() if n > 1}
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + len(GAP))
     out = []
-    for row in rows:
-        cells = [(text.split("\n"), span) for text, span in row]
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            at, line = 0, []
-            for lines, span in cells:
-                room = sum(widths[at : at + span]) + len(GAP) * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(room))
-                at += span
-            out.append(GAP.join(line).rstrip())
+    for row in placed:
+        cells = [(at, text.split("\n")) for at, text, _ in row]
+        for k in range(max((len(lines) for _, lines in cells), default=0)):
+            line = ""
+            for at, lines in cells:
+                if line and len(line) + len(GAP) > starts[at]:
+                    line += GAP  # what spans several columns is wider than they are
+                line = line.ljust(starts[at]) + (lines[k] if k < len(lines) else "")
+            out.append(line.rstrip())
     return "\n".join(out)
 
 
@@ -220,16 +287,27 @@ def render(html: str | None) -> str:
     lists: list[list] = []  # [ordered, next number, indent outside]
     tables: list[list] = []  # rows of the open tables
     pre = 0
+    sheet = Sheet(builder.styles)
+    shown = [True]  # visibility of the open elements that say something of it
     stack: list[tuple[object, bool]] = [(builder.root, False)]
     while stack:
         node, leaving = stack.pop()
         if isinstance(node, str):
+            if not shown[-1]:
+                continue
             writer.raw(node) if pre else writer.text(node)
             continue
+        if node is None:
+            shown.pop()
+            continue
         tag = node.tag
         if not leaving:
-            if unseen(node):
+            said = sheet.of(node)
+            if unseen(node, said):
                 continue
+            if "visibility" in said and tag not in VOID:
+                shown.append(said["visibility"] not in ("hidden", "collapse"))
+                stack.append((None, True))
             if tag == "br":
                 writer.line()
                 continue
@@ -266,20 +344,25 @@ def render(html: str | None) -> str:
                 pre += tag == "pre"
             elif tag in LINES:
                 writer.brk(1)
+            pre += tag == "textarea"
             stack.append((node, True))
-            stack += [(c, False) for c in reversed(node.children)]
+            children = node.children
+            if tag == "details" and "open" not in node.attrs:  # closed: its summary alone
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            stack += [(c, False) for c in reversed(children)]
             continue
+        pre -= tag == "textarea"
         if tag in ("td", "th"):
             text, writer = writer.value(), writers.pop()
             if tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                tables[-1][-1].append((text, number(node.attrs.get("colspan"), 1, 100)))
+                tables[-1][-1].append((text, *(number(node.attrs.get(x), 1, MOST_SPAN) for x in ("colspan", "rowspan"))))
             else:
                 writer.text(f" {text} ")
         elif tag == "table":
             loose, writer = writer.value(), writers.pop()
-            body = aligned([r for r in tables.pop() if r])
+            body = aligned(tables.pop())
             for part in (loose, body):
                 if part:
                     writer.brk(1)
