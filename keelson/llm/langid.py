@@ -8,6 +8,11 @@ are scored in batches with numpy.
 At most PER_LANGUAGE texts a language (in expectation; chosen by a hash of the id) are learned
 from: that bound is the documented parameter per_language. Everything else covers all rows.
 
+A filter keeps what a learned language explains better than no language at all, which would give each
+bucket the same chance: the mean log probability of a text's n-grams is compared with that, over the
+whole text or over its letters alone (so that numbers don't count against a text). A posterior can't
+say so, since it only compares the languages with one another.
+
 Edge cases: text that is null or has no letter is `und` with score 0; with nothing to learn from
 every text is `und`; a null id is held out (it has no remainder); ties go to the language that
 comes first by name; repeated rows count as often as they occur.
@@ -15,6 +20,7 @@ comes first by name; repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +34,7 @@ BITS = 16
 ORDERS = 3
 PER_LANGUAGE = 4000
 UNKNOWN = "und"
+LETTERS = re.compile(r"[^\W\d_]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)  # odd constants, one for each order
 
 
@@ -80,18 +87,30 @@ class Model:
         self.logs = np.ascontiguousarray(np.vstack([logs, np.zeros((1, len(languages)))]).T.astype(np.float32))
         self.prior = np.log(np.maximum(documents, 1) / max(documents.sum(), 1))
 
+    def joint(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihood of each text under each language, and its number of n-grams."""
+        buckets, starts = features(texts)
+        return np.stack([np.add.reduceat(row[buckets], starts, dtype=np.float64) for row in self.logs], axis=1), np.add.reduceat(buckets < 1 << BITS, starts, dtype=np.int64)
+
     def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text and its posterior probability."""
         names, scores = [], []
         for lo, hi in batches_of(texts):
-            buckets, starts = features(texts[lo:hi])
-            joint = np.stack([np.add.reduceat(row[buckets], starts, dtype=np.float64) for row in self.logs], axis=1) + self.prior
+            joint = self.joint(texts[lo:hi])[0] + self.prior
             best = joint.argmax(axis=1)
             share = 1 / np.exp(joint - joint[np.arange(len(best)), best][:, None]).sum(axis=1)
             names += [self.languages[b] for b in best]
             scores += share.tolist()
         return names, scores
 
+    def fits(self, texts: list[str]) -> list[bool]:
+        """Whether some language explains a text better than equal chances of all buckets."""
+        out: list[bool] = []
+        for lo, hi in batches_of(texts):
+            joint, n = self.joint(texts[lo:hi])
+            out += (joint.max(axis=1) >= -n * BITS * np.log(2)).tolist()
+        return out
+
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -150,8 +169,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return df.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def keep_known(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """df without the rows whose text is in no learned language (`und`, or a score below least)."""
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """df without the rows whose text is in no learned language: `und`, or one that fits none."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 
@@ -161,7 +180,10 @@ def keep_known(df: DataFrame, model: Model, least: float = 0.5, text_col: str =
             for batch in slices(big):
                 texts = batch[at].to_pylist()
                 known = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
-                _, scores = model.score([texts[i] for i in known])
-                yield batch.take(pa.array([i for i, s in zip(known, scores, strict=True) if s >= least], pa.int64()))
+                keep = model.fits([texts[i] for i in known])
+                left = [i for i, fits in zip(known, keep, strict=True) if not fits]
+                letters = model.fits([" ".join(LETTERS.findall(texts[i])) for i in left])
+                gone = {i for i, fits in zip(left, letters, strict=True) if not fits}
+                yield batch.take(pa.array([i for i in known if i not in gone], pa.int64()))
 
     return df.mapInArrow(run, df.schema)

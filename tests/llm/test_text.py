@@ -45,6 +45,58 @@ def test_language_features_by_hand():
         assert np.sort(part).tolist() == want.tolist()
 
 
+def test_language_equals_plain_naive_bayes(spark, tmp_path):
+    """The registered query against counts in plain Python, over texts of several lengths, odd ones included."""
+    import collections
+    import math
+
+    from keelson.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    kinds = {"aa": "abcdefgh", "bb": "efghijklm", "cc": "äöüßklmno"}
+    data = [(i, prose(rng, kinds[k], rng.choice([1, 3, 30])), k if rng.random() < 0.8 else None) for i, k in enumerate(rng.choices(sorted(kinds), k=120))]
+    data += [(500 + i, t, "aa") for i, (_, t) in enumerate(rows())] + [(None, "abc", "bb")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def grams(text):
+        points = [ord(c) for c in f" {text.lower()} "]
+        for n in range(3):
+            for i in range(len(points) - n):
+                g = 0
+                for c in points[i : i + n + 1]:
+                    g = (g * 0x100000001B3 + c) % (1 << 64)
+                yield (g * langid.MULTIPLIERS[n]) % (1 << 64) >> 48
+
+    counts, sizes = {}, collections.Counter()
+    for k, text, lang in data:
+        if lang is not None and k is not None and text is not None and zlib.crc32(str(k).encode()) % 3 != 1:
+            sizes[lang] += 1
+            if any(map(str.isalpha, text)):
+                counts.setdefault(lang, collections.Counter()).update(grams(text))
+    totals = {k: sum(c.values()) + 0.5 * 65536 for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op2_language"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(data)
+    for k, text, _ in data:
+        if not langid.has_letter(text):
+            assert got[k]["lang_pred"] == "und" and got[k]["score"] == 0
+            continue
+        found = list(grams(text))
+        logs = {n: math.log(sizes[n] / sum(sizes.values())) + sum(math.log((c[g] + 0.5) / totals[n]) for g in found) for n, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(min(v - logs[best], 0)) for v in logs.values())
+        if share > 0.51:
+            assert got[k]["lang_pred"] == best and abs(got[k]["score"] - share) < 1e-3
+
+
+def test_foreign_texts_go(spark):
+    rng = random.Random(10)
+    data = [(i, prose(rng, "abcdefghi", 40), "aa") for i in range(60)] + [(100, "Это другой язык, которого никто не изучал", "aa"), (101, "日本語の文章です", None)]
+    data += [(102, "4734663219866878 978463 bad cabbage 1111222233334444 5555", None), (103, "12 34", "aa")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    left = {r["doc_id"] for r in langid.keep_known(df, langid.train(df.where("doc_id < 100"))).collect()}
+    assert left == {*range(60), 102}
+
+
 def test_language_without_labels(spark):
     df = documents(spark, rows()).drop("lang").selectExpr("*", "cast(null as string) lang")
     model = langid.train(df)
