@@ -56,6 +56,7 @@ class Code:
         if k < 1 or m < 1 or k + m > 256:
             raise ValueError("k and m must be positive and at most 256 together")
         self.k, self.m, self.parity = k, m, cauchy(m, k)
+        self.inverses: dict[tuple[int, ...], np.ndarray] = {}
 
     def encode(self, payload: bytes, length: int | None = None) -> list[bytes]:
         if not payload:
@@ -87,9 +88,21 @@ class Code:
         if len({len(x) for _, x in shards}) != 1:
             raise ValueError("shards of different length")
         chosen = sorted(shards)[: self.k]
-        full = np.concatenate([np.eye(self.k, dtype=np.uint8), self.parity])
-        solve = invert(full[[i for i, _ in chosen]])
         data = np.stack([np.frombuffer(x, np.uint8) for _, x in chosen])
         if length > data.size:
             raise ValueError("payload longer than its shards")
-        return np.stack([self._sum(row, data) for row in solve]).tobytes()[:length]
+        have = {i: row for (i, _), row in zip(chosen, data, strict=True)}
+        lost = [i for i in range(self.k) if i not in have]  # shards of data that are there need no solving
+        solve = self.solved(tuple(have))
+        rows = {i: self._sum(solve[i], data) for i in lost}
+        return b"".join([(have[i] if i in have else rows[i]).tobytes() for i in range(self.k)])[:length]
+
+    def solved(self, index: tuple[int, ...]) -> np.ndarray:
+        """The inverse for the shards of index, which are k; kept, as the same ones tend to be lost together."""
+        found = self.inverses.get(index)
+        if found is None:
+            full = np.concatenate([np.eye(self.k, dtype=np.uint8), self.parity])
+            found = invert(full[list(index)])
+            if len(self.inverses) < 4096:
+                self.inverses[index] = found
+        return found

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keelson.functions.digests import _sha3, content_id, merkle_path, path_root, sampled_block, shard_root
@@ -34,20 +34,31 @@ def encode(blobs: DataFrame, k: int = 10, m: int = 4, shard_length: int | None =
 
 
 def decode(shards: DataFrame, k: int = 10, m: int = 4) -> DataFrame:
-    """blob_id, payload, error of (blob_id, length, shard_index, shard): from the first k present by index. A blob has k + m shards at most."""
+    """blob_id, payload, error of (blob_id, length, shard_index, shard): from the first k present by index.
+
+    A blob has k + m shards at most, which one aggregation brings together in order; blobs are then
+    decoded a batch at a time.
+    """
     kind = shards.schema["blob_id"].dataType.simpleString()
-    first = F.row_number().over(W.partitionBy("blob_id").orderBy("shard_index")) <= k
-    chosen = shards.withColumn("__first", first).where("__first")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        payload, error = None, None
-        try:
-            payload = Code(k, m).decode([(int(i), bytes(s)) for i, s in zip(rows.shard_index, rows.shard, strict=True)], int(rows.length.iloc[0]))
-        except ValueError as e:
-            error = str(e)
-        return pd.DataFrame({"blob_id": [rows.blob_id.iloc[0]], "payload": [payload], "error": [error]})
-
-    return chosen.select("blob_id", "length", "shard_index", "shard").groupBy("blob_id").applyInPandas(run, f"blob_id {kind}, payload binary, error string")
+    present = F.slice(F.sort_array(F.collect_list(F.struct("shard_index", "shard"))), 1, k)
+    chosen = shards.groupBy("blob_id").agg(F.first("length").alias("length"), present.alias("s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Code(k, m)
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                batch, payloads, errors = big.slice(at, 64), [], []
+                for length, index, parts in zip(*(batch[i].to_pylist() for i in (1, 2, 3)), strict=True):
+                    try:
+                        payloads.append(code.decode(list(zip(index, parts, strict=True)), length))
+                        errors.append(None)
+                    except ValueError as e:
+                        payloads.append(None)
+                        errors.append(str(e))
+                columns = [batch[0], pa.array(payloads, pa.binary()), pa.array(errors, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["blob_id", "payload", "error"])
+
+    return chosen.select("blob_id", "length", "s.shard_index", "s.shard").mapInArrow(run, f"blob_id {kind}, payload binary, error string")
 
 
 def manifests(blobs: DataFrame, shards: DataFrame) -> DataFrame:

@@ -25,6 +25,12 @@ def sweep(leases: DataFrame, now: int | Column, most: int = MOST_ATTEMPTS) -> Da
     return leases.withColumn("status", status)
 
 
+def counts(tasks: DataFrame) -> DataFrame:
+    """One row: tasks by state, and writes to disk (all but those that completed in memory)."""
+    count = lambda x: F.count(F.when(F.col("status") == x, 1))
+    return tasks.agg(F.count("*").alias("tasks"), count("Running").alias("active_leases"), count("Completed").alias("completed"), count("DeadLetter").alias("dead"), F.count(F.when(F.col("status") != "Completed", 1)).alias("disk_writes"))
+
+
 def dead_letters(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("status") == "DeadLetter")
 

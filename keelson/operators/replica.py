@@ -35,6 +35,29 @@ def checked_merge(local: DataFrame, remote: DataFrame, valid: Column, keys: list
     return merge(local, remote, keys, ts, tie)
 
 
+def diff_from_root(local: DataFrame, local_root: bytes, remote_root: bytes, keys: list[str]) -> DataFrame:
+    """keys and op where only the other side's root is known: nothing if the roots agree, else everything is sent."""
+    return local.where(F.lit(local_root != remote_root)).select(*keys, F.lit("send").alias("op"))
+
+
+def answer_nodes(nodes: DataFrame, records: DataFrame, low: Column | None = None, high: Column | None = None) -> DataFrame:
+    """Records that a range request gets: of the nodes (node, depth, key, envelope_id; a row for each entry)
+    down to MOST_DEPTH that hold any entry within [low, high], the first MOST_NODES in order, and of the
+    distinct ids of all their entries the first MOST_KEYS. The caps are the feature."""
+    inside = F.lit(True)
+    for bound, test in ((low, lambda b: F.col("key") >= b), (high, lambda b: F.col("key") <= b)):
+        inside = inside if bound is None else inside & test(bound)
+    hit = nodes.where((F.col("depth") <= MOST_DEPTH) & inside).groupBy("node").agg(F.min("depth").alias("d"))
+    taken = hit.orderBy("d", "node").limit(MOST_NODES).select("node")
+    return answer(nodes.join(F.broadcast(taken), "node", "left_semi"), records)
+
+
+def apply_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of counters of an applied batch, by the outcome of each entry."""
+    count = lambda x: F.count(F.when(F.col("outcome") == x, 1))
+    return outcomes.agg(F.count("*").alias("received"), count("Stored").alias("inserted"), count("Replaced").alias("updated"), count("SupersededLww").alias("superseded"))
+
+
 def answer(index: DataFrame, records: DataFrame, low: Column | None = None, high: Column | None = None, most: int = MOST_KEYS) -> DataFrame:
     """Records of the distinct ids of index rows within [low, high], in id order, as far as the cap (which is the feature)."""
     for bound, test in ((low, F.col("key") >= low if low is not None else None), (high, F.col("key") <= high if high is not None else None)):

@@ -85,6 +85,16 @@ def by_id(views: dict[int, DataFrame], wanted: Column, now: int | Column | None
     return found.where(F.col(id_col) == wanted)
 
 
+def first_by_id(views: dict[int, DataFrame], wanted: Column, now: int | Column | None = None, id_col: str = "id") -> DataFrame:
+    """The one record of each wanted id: of the first class that holds it, in the order append, expiring
+    (unless over), write-once, replaceable, parameter."""
+    order = (APPEND, TTL, WORM, REPLACEABLE, PARAMETER)
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("class"))
+    found = by_id(views, wanted, now, id_col)
+    rest = [c for c in found.columns if c != id_col]
+    return found.groupBy(id_col).agg(F.min_by(F.struct(*rest), place).alias("__row")).select(id_col, "__row.*").select(*found.columns)
+
+
 def delete(views: dict[int, DataFrame], ids: DataFrame, id_col: str = "id") -> dict[int, DataFrame]:
     """Views without the ids; an id that is write-once is an error."""
     if views[WORM].join(ids, id_col, "left_semi").limit(1).count():

@@ -108,6 +108,11 @@ def evaluate(targets: DataFrame, ranked: DataFrame, root: Column) -> DataFrame:
     return found.select("target", score.alias("score"), distance.alias("distance"), F.when(own, "CorePeer").otherwise(tier(score, distance)).alias("tier"))
 
 
+def refresh(graph: DataFrame, root: Column) -> DataFrame:
+    """The scores of a graph, written: what `evaluate` reads until the next refresh, whatever the graph does meanwhile."""
+    return _written(rank(graph, root))
+
+
 def capable(targets: DataFrame, attestations: DataFrame, scope: int, name: str) -> DataFrame:
     """targets with a flag: any attestation grants the scope, revoked or not."""
     granted = attestations.where(F.col("capability_scopes").bitwiseAND(scope) == scope).select(F.col("subject_id").alias("target")).distinct()

@@ -250,20 +250,17 @@ def lease_sweep(spark, sf_dir):
 JOBS = [("five", "*/5 * * * *", None), ("weekday", "30 8 * * 1-5", None), ("monthly", "0 0 1 * *", None), ("sunday", "15,45 */6 * * 7", None)]
 
 
-@query(f"""WITH t AS (SELECT event_id, {S} AS s FROM events WHERE event_id % 100 = 0),
- c AS (SELECT event_id, m, to_timestamp(m) AT TIME ZONE 'UTC' AS d FROM (SELECT event_id, unnest(generate_series((s // 60 - 10079) * 60, s // 60 * 60, 60)) AS m FROM t)),
- h AS (SELECT event_id, m, minute(d) AS mi, hour(d) AS ho, day(d) AS dy, month(d) AS mo, dayofweek(d) AS wd FROM c),
- j AS (SELECT event_id, 'five' AS id, m FROM h WHERE mi % 5 = 0 UNION ALL SELECT event_id, 'weekday', m FROM h WHERE mi = 30 AND ho = 8 AND wd BETWEEN 1 AND 5
-  UNION ALL SELECT event_id, 'monthly', m FROM h WHERE mi = 0 AND ho = 0 AND dy = 1 UNION ALL SELECT event_id, 'sunday', m FROM h WHERE mi IN (15, 45) AND ho % 6 = 0 AND wd = 0)
- SELECT t.event_id, i.id, max(j.m) AS trigger FROM t CROSS JOIN (VALUES ('five'), ('weekday'), ('monthly'), ('sunday')) i(id) LEFT JOIN j ON j.event_id = t.event_id AND j.id = i.id GROUP BY 1, 2""")
-def cron_triggers(spark, sf_dir):
-    """The hundredth part of the ticks that its SQL takes; cron_triggers_all has them all."""
-    return job_triggers(spark, events(spark, sf_dir).where("event_id % 100 = 0"))
+#: Every minute of the events and the week before that a job names.
+MINUTES_SQL = f"""g AS (SELECT unnest(generate_series((SELECT min({S}) FROM events) // 60 * 60 - 604800, (SELECT max({S}) FROM events), 60)) AS m),
+ c AS (SELECT m, to_timestamp(m) AT TIME ZONE 'UTC' AS d FROM g), h AS (SELECT m, minute(d) AS mi, hour(d) AS ho, day(d) AS dy, dayofweek(d) AS wd FROM c),
+ j AS (SELECT 'five' AS id, m FROM h WHERE mi % 5 = 0 UNION ALL SELECT 'weekday', m FROM h WHERE mi = 30 AND ho = 8 AND wd BETWEEN 1 AND 5
+  UNION ALL SELECT 'monthly', m FROM h WHERE mi = 0 AND ho = 0 AND dy = 1 UNION ALL SELECT 'sunday', m FROM h WHERE mi IN (15, 45) AND ho % 6 = 0 AND wd = 0)"""
 
 
-@query()
-def cron_triggers_all(spark, sf_dir):
-    """Every event is a tick. Minute by minute SQL would be too slow, so rows only; tests compare with brute force."""
+@query(f"""WITH {MINUTES_SQL}, t AS (SELECT event_id, {S} // 60 * 60 AS s, id FROM events CROSS JOIN (VALUES ('five'), ('weekday'), ('monthly'), ('sunday')) i(id))
+ SELECT t.event_id, t.id, CASE WHEN j.m >= t.s - 10079 * 60 THEN j.m END AS trigger FROM t ASOF LEFT JOIN j ON t.id = j.id AND t.s >= j.m""")
+def cron_triggers(spark, sf_dir):
+    """Every event is a tick."""
     return job_triggers(spark, events(spark, sf_dir))
 
 
@@ -273,24 +270,17 @@ def job_triggers(spark, ticks):
     return pairs.select("event_id", "id", trigger.alias("trigger"))
 
 
-def graph(spark, sf_dir, lines="l_returnflag = 'R'"):
+def graph(spark, sf_dir):
     """Suppliers and parts that lines of returned goods link, both ways."""
-    li = read(spark, sf_dir, "lineitem").where(lines).select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), (F.col("l_discount") + 0.1).alias("w"))
+    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"), (F.col("l_discount") + 0.1).alias("w"))
     both = li.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(li.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg(F.max("w").alias("weight"))
 
 
-@query("""WITH RECURSIVE li AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45),
+@query("""WITH RECURSIVE li AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_returnflag = 'R'),
  g AS (SELECT a AS s, b AS d FROM li UNION SELECT b, a FROM li), w(node, distance) AS (SELECT CAST(2 AS BIGINT), 0 UNION SELECT g.d, w.distance + 1 FROM w JOIN g ON g.s = w.node WHERE w.distance < 6)
  SELECT node, min(distance) AS distance FROM w GROUP BY node""")
 def trust_distances(spark, sf_dir):
-    """Over the thinned graph that its SQL takes; trust_distances_all has all lines of returned goods."""
-    return trust.distances(graph(spark, sf_dir, "l_returnflag = 'R' AND l_quantity > 45"), F.lit(2))
-
-
-@query()
-def trust_distances_all(spark, sf_dir):
-    """Recursive SQL over all lines would be too slow, so rows only; tests compare with a plain search."""
     return trust.distances(graph(spark, sf_dir), F.lit(2))
 
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import keelson.plans.records  # noqa: F401
 from keelson.plans.queries import ORACLES, QUERIES
 from keelson.streaming import ingest, replay
 

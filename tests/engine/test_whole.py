@@ -14,7 +14,7 @@ def test_cron_triggers_of_every_event(spark, tmp_path):
     begin = int(datetime.datetime(2023, 12, 20, tzinfo=datetime.UTC).timestamp())
     seconds = [begin + rng.randrange(40 * 86400) for _ in range(80)] + [begin + 12 * 86400, begin + 12 * 86400 - 1, 0, 59, 60, 3 * 86400]
     spark.createDataFrame(list(enumerate(seconds, 1)), "event_id long, s long").selectExpr("event_id", "timestamp_seconds(s) AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    got = {(r.event_id, r.id): r.trigger for r in queries.QUERIES["cron_triggers_all"](spark, str(tmp_path)).collect()}
+    got = {(r.event_id, r.id): r.trigger for r in queries.QUERIES["cron_triggers"](spark, str(tmp_path)).collect()}
     want = {}
     for name, text, _ in queries.JOBS:
         masks = cron.Schedule.parse(text).masks
@@ -40,7 +40,7 @@ def test_trust_over_all_returned_lines(spark, tmp_path):
             for pair in ((2 * supplier, 2 * part + 1), (2 * part + 1, 2 * supplier)):
                 edges[pair] = max(edges.get(pair, 0), discount + 0.1)
     want = plain_rank(edges, 2)
-    assert {r.node: r.distance for r in queries.QUERIES["trust_distances_all"](spark, str(tmp_path)).collect()} == {k: v[0] for k, v in want.items()}
+    assert {r.node: r.distance for r in queries.QUERIES["trust_distances"](spark, str(tmp_path)).collect()} == {k: v[0] for k, v in want.items()}
     got = {r.target: r for r in queries.QUERIES["trust_tiers"](spark, str(tmp_path)).collect()}
     assert set(got) == {2 * i for i in range(1, 14)}
     for k, r in got.items():
