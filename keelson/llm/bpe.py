@@ -183,7 +183,7 @@ class TextEncoder:
     stands between two other characters, which holds for the patterns of byte-level BPE.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 100_000):
         self.encode = encode
         self.first = Chunks(encode, "", limit // 8)
         self.later = Chunks(encode, " ", limit)
@@ -223,7 +223,7 @@ class TextEncoder:
 def coder(path: str, pattern: str) -> tuple[BytePairEncoder, TextEncoder]:
     """One for each worker process; it lives from task to task."""
     bpe = BytePairEncoder(load_ranks(path), pattern)
-    piece, split = Pieces(bpe.encode_piece, 400_000).__getitem__, bpe.pattern.findall
+    piece, split = Pieces(bpe.encode_piece, 250_000).__getitem__, bpe.pattern.findall
     return bpe, TextEncoder(lambda text: b"".join(map(piece, split(text))))
 
 
