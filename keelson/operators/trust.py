@@ -37,25 +37,23 @@ def edges(weighted: DataFrame, order: str = "issued_at") -> DataFrame:
     )
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A table in the shared folder: cuts the lineage of a loop and outlives executors."""
-    spark = df.sparkSession
+def _place(spark) -> str:
+    """A path of our own in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='keelson-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/trust-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
+    return f"{base}/trust-{uuid.uuid4().hex}"
 
 
-def _emptied(df: DataFrame) -> None:
-    """A table of _written whose last reader is done."""
-    df.sparkSession.range(0).write.mode("overwrite").parquet(df.stored_at)
+def _written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """A table in the shared folder: cuts the lineage of a loop and outlives executors."""
+    spark = df.sparkSession
+    path = path or _place(spark)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def distances(graph: DataFrame, root: Column, horizon: int = HORIZON) -> DataFrame:
@@ -83,14 +81,12 @@ def rank(graph: DataFrame, root: Column, rounds: int = ROUNDS, epsilon: float =
     total = inside.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = _written(inside.join(total, "src").select("src", "dst", (F.col("weight") / F.greatest("total", F.lit(1.0))).alias("w")))
     nodes = reach.select("node", (F.col("distance") == 0).alias("is_root"))
-    p, before = nodes.withColumn("p", F.col("is_root").cast("double")), None
-    for _ in range(rounds):
+    p = nodes.withColumn("p", F.col("is_root").cast("double"))
+    places = [_place(graph.sparkSession) for _ in range(2)]  # a round reads one and writes the other
+    for i in range(rounds):
         moved = steps.join(p.where("p > 0").select(F.col("node").alias("src"), "p"), "src")
         gained = moved.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("w") * ALPHA).alias("gain"))
-        new = _written(p.join(gained, "node", "left").select("node", "is_root", "p", F.coalesce("gain", F.lit(0.0)).alias("gain")))
-        if before is not None:
-            _emptied(before)
-        before = new
+        new = _written(p.join(gained, "node", "left").select("node", "is_root", "p", F.coalesce("gain", F.lit(0.0)).alias("gain")), places[i % 2])
         own = lambda c: F.max(F.when(F.col("is_root"), F.col(c)))
         sums = new.agg(F.sum("p").alias("mass"), F.sum("gain").alias("kept"), F.max(F.when(~F.col("is_root"), F.abs(F.col("gain") - F.col("p")))).alias("change"), own("p").alias("root"), own("gain").alias("root_gain")).first()
         back = (1 - ALPHA) + max(ALPHA * sums["mass"] - sums["kept"], 0.0)
