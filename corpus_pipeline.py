@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keelson.llm import bpe, decontam, langid, simhash, suffix
 from keelson.llm.common import materialize, table
 
+KNOWN = 250_000  # words that a worker keeps the codes of; workers hold what earlier stages left beside them
 WIDTH, LIKENESS = 5, 0.8  # words of a shingle; Jaccard similarity of near copies
 
 
@@ -37,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, known=KNOWN)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("repeats", repeats), ("decontaminate", decontaminate), ("encode", encode)]

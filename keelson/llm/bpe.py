@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import Rows, slices
 
 WORD = 256  # bits of a bitmap word
+KNOWN = 400_000  # words that a worker's cache holds
 BITS = [1 << i for i in range(1 << 12)]
 
 
@@ -183,7 +184,7 @@ class TextEncoder:
     stands between two other characters, which holds for the patterns of byte-level BPE.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], limit: int = 100_000):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = 150_000):
         self.encode = encode
         self.first = Chunks(encode, "", limit // 8)
         self.later = Chunks(encode, " ", limit)
@@ -220,11 +221,11 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=4)
-def coder(path: str, pattern: str) -> tuple[BytePairEncoder, TextEncoder]:
-    """One for each worker process; it lives from task to task."""
+def coder(path: str, pattern: str, known: int = KNOWN) -> tuple[BytePairEncoder, TextEncoder]:
+    """One for each worker process; it lives from task to task. known: words that its cache holds, twice at most."""
     bpe = BytePairEncoder(load_ranks(path), pattern)
-    piece, split = Pieces(bpe.encode_piece, 250_000).__getitem__, bpe.pattern.findall
-    return bpe, TextEncoder(lambda text: b"".join(map(piece, split(text))))
+    piece, split = Pieces(bpe.encode_piece, known).__getitem__, bpe.pattern.findall
+    return bpe, TextEncoder(lambda text: b"".join(map(piece, split(text))), limit=3 * known // 8)
 
 
 @lru_cache(maxsize=4)
@@ -272,13 +273,13 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     return df.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes and decodes in one pass, no shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, texts = coder(path, pattern)
+        bpe, texts = coder(path, pattern, known)
         names = decimals(len(bpe.tokens))
         out = Rows(schema)
         for big in batches:
