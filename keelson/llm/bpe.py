@@ -20,7 +20,6 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,15 +162,12 @@ class Chunks(dict):
                 raise LookupError(chunk)  # the space beside it is not a sure boundary
             packed = self.encode(self.lead + chunk)
         if len(chunk) <= 64:
-            self.keep(chunk, packed)
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = packed
         return packed
 
-    def keep(self, chunk: str, packed: bytes) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = packed
-
 
 #: A space between two characters that aren't white space always starts a pre-token.
 SURE_BREAK = re.compile(r"(?<=\S) (?=\S)")
@@ -203,16 +199,6 @@ class TextEncoder:
         head, *tail = SURE_BREAK.split(text)
         return self.encode(head) + b"".join([self.odd(x) for x in tail])
 
-    def all(self, texts: list[str], encode_all: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """Ids of several texts; their chunks that are not known yet are encoded in one call."""
-        split = [text.split(" ") for text in texts]
-        later = self.later
-        unknown = set(chain.from_iterable(split)).difference(later).difference(later.old)
-        new = [c for c in unknown if c and len(c) <= 64 and not c[0].isspace() and not c[-1].isspace()]
-        for chunk, packed in zip(new, encode_all([" " + c for c in new]), strict=True):
-            later.keep(chunk, packed)
-        return list(map(self.join, texts, split))
-
     def odd(self, chunk: str) -> bytes:
         try:
             return self.later[chunk]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -103,3 +104,43 @@ def test_library_cache_equals_library():
     cases += ["".join(rng.choice(" \n\t a'sé1²٣日😀_-\x1c\x85") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     got = [np.frombuffer(x, "<u4").tolist() for x in cached(cases)]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in cases]
+
+
+def test_library_is_asked_once_for_a_word(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, cached, asked = Tokenizer.from_file(path), tokens.Library(path), []
+    encode_all = cached.encode_all
+    monkeypatch.setattr(cached, "encode_all", lambda chunks: asked.extend(chunks) or encode_all(chunks))
+    cases = [f"so thelyonré{mark} so" for mark in ("", ".", ",", ";", ":", "!", "?", "\nso", ".\nso")]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in cached(cases)] == [plain.encode(t).ids for t in cases]
+    assert sum("thelyonré" in (c if isinstance(c, str) else c.decode()) for c in asked) == 1
+
+
+@pytest.mark.parametrize("prefix", [False, True])
+def test_breaks_equal_library(tmp_path, prefix):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.pre_tokenizer.add_prefix_space = prefix  # another pattern: no breaks within a text
+    plain.save(str(tmp_path / "one.json"))
+    cached, rng = tokens.Library(str(tmp_path / "one.json"), limit=500), random.Random(8)
+    assert cached.words is not prefix
+    signs = [*" \n\t\r .,;:!?'-_aZs1éç×÷ÿƻȿɏ日😀\x1c\x85\xa0\u1680\u2003\u2028\u3000\u0301", "\n ", " \n", "'s", "'ll", "the", " tion", "<|endoftext|>"]
+    cases: list = ["".join(rng.choices(signs, k=rng.randint(0, 12))) for _ in range(20_000)] + [None, "", " ", "\n", ""]
+    for lo in range(0, len(cases), 700):
+        some = cases[lo : lo + 700]
+        got = [np.frombuffer(x, cached.word).tolist() for x in cached.packed(pa.array(["skipped", *some])[1:]).to_pylist()]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert len(cached.known) <= 500 and cached.packed(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_pieces():
+    batch = pa.record_batch({"doc_id": range(7), "text": ["a" * 5, None, "b" * 30, "", "é" * 5, "c", None]})
+    for limit in (1, 10, 11, 30, 100):
+        parts = list(tokens.pieces(batch, limit))
+        assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p[1].to_pylist()) <= limit for p in parts)
+    assert list(tokens.pieces(batch[:0])) == []
